@@ -32,6 +32,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vafile import scaled, top_k
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding")).alias("vector"))
+    vectors = vectors.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlrules import judge
+
+    marks = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("page_id"))
+    bad = F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0))
+    verdicts = marks.agg(F.when(bad, "block").otherwise("allow").alias("verdict"))
+    return judge(table(spark, sf_dir, "pages"), keep=["page_id"], labels=verdicts)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fold, identify
 
@@ -53,7 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
 
 
-OPS = [op1_bpe, op7_language, op8_toxicity, op10_packing]
+OPS = [op1_bpe, op2_topk, op5_url_rules, op7_language, op8_toxicity, op10_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -36,7 +36,8 @@ RULES = [
     ("org", "/es/", "block"),
 ]
 TRAIN_ROWS = 50_000
-SUPPORT = 0.002
+SUPPORT = 0.005
+LEAST_ROWS = 20
 CONFIDENCE = 0.9
 
 
@@ -87,7 +88,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     bar = int(min(1.0, train_rows / total) * (1 << 32))
     rows = labelled.where(F.pmod(F.xxhash64("tokens"), F.lit(1 << 32)) < bar)
     baskets = rows.select(F.array_append("tokens", F.concat(F.lit("="), "verdict")).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST_ROWS / total)), minConfidence=confidence).fit(baskets).associationRules
     chosen = found.where(F.col("consequent")[0].startswith("=") & (F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda x: x.startswith("=")))
     rules = sorted(((tuple(sorted(r["antecedent"])), r["consequent"][0][1:], r["confidence"]) for r in chosen.select("antecedent", "consequent", "confidence").collect()), key=lambda r: (len(r[0]), -r[2], r))
     kept: list[tuple[tuple[str, ...], str, float]] = []

@@ -74,8 +74,8 @@ def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def _class(shingles: np.ndarray) -> int:
-    n = np.uint64(len(shingles))
-    return int(mixed(np.array([shingles.sum() * np.uint64(0x9E3779B97F4A7C15) + mixed(shingles).sum() + n]))[0].view(np.int64))
+    of = np.array([shingles.sum(), mixed(shingles).sum(), len(shingles)], np.uint64)
+    return int(mixed((of * np.array([0x9E3779B97F4A7C15, 1, 1], np.uint64)).sum(keepdims=True))[0].view(np.int64))
 
 
 def frequent(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np.ndarray]:

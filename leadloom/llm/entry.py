@@ -40,6 +40,12 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linetemplates import dedup
+
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urlrules import judge
 
@@ -76,7 +82,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
 
 
-OPS = [op1_bpe, op2_topk, op5_url_rules, op7_language, op8_toxicity, op9_jaccard, op10_packing]
+OPS = [op1_bpe, op2_topk, op3_lines, op5_url_rules, op7_language, op8_toxicity, op9_jaccard, op10_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -84,4 +90,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .linetemplates import ORACLE
+
+    return {"op3_lines": ORACLE}

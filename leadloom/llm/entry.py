@@ -46,6 +46,13 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urlrules import judge
 
@@ -82,7 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
 
 
-OPS = [op1_bpe, op2_topk, op3_lines, op5_url_rules, op7_language, op8_toxicity, op9_jaccard, op10_packing]
+OPS = [op1_bpe, op2_topk, op3_lines, op4_quality, op5_url_rules, op7_language, op8_toxicity, op9_jaccard, op10_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

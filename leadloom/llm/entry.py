@@ -62,6 +62,16 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), keep=["page_id"], labels=verdicts)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import workspace
+    from .warc import capture_key, index, lookup, read, write
+
+    pages, root = table(spark, sf_dir, "pages"), workspace(spark)
+    directory = index(write(pages, root), root)
+    keys = pages.select(capture_key(F.col("url"), F.col("page_id")).alias("key"))
+    return read(lookup(keys, directory, root), root).drop("payload")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fold, identify
 
@@ -89,7 +99,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
 
 
-OPS = [op1_bpe, op2_topk, op3_lines, op4_quality, op5_url_rules, op7_language, op8_toxicity, op9_jaccard, op10_packing]
+OPS = [op1_bpe, op2_topk, op3_lines, op4_quality, op5_url_rules, op6_warc, op7_language, op8_toxicity, op9_jaccard, op10_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -99,8 +99,8 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return codes, np.bincount(places, weights=np.concatenate([p[1] for p in parts]), minlength=len(codes)).astype(np.int64)
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], text_col: str = "text", size: int = PROFILE_SIZE) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (1 less the distance as a part of the greatest possible) to the columns in ``keep``."""
+def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], text_col: str = "text", size: int = PROFILE_SIZE, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """Adds ``pred_col`` and ``score_col`` (1 less the distance as a part of the greatest possible) to the columns in ``keep``."""
     names = list(profiles)
     codes = np.array(sorted({c for p in profiles.values() for c in p}), np.uint64)
     place = np.full((max(1, len(names)), len(codes) + 1), sys.maxsize, np.int64)
@@ -123,12 +123,13 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [one(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            found = [one(x.as_py()) for x in batch.column(at)]
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=[*keep, pred_col, score_col])
 
+    at = keep.index(text_col) if text_col in keep else len(keep)
     held = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text_col).mapInArrow(run, f"{held}, lang_pred string, score double")
+    return docs.select(*keep, *[text_col][: at == len(keep)]).mapInArrow(run, f"{held}, `{pred_col}` string, `{score_col}` double")
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -136,7 +137,7 @@ def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def identify(docs: DataFrame, keep: list[str], folds: int = 4, held: int = 2) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str], folds: int = 4, held: int = 2, **names: str) -> DataFrame:
     """Learns from the rows outside fold ``held`` and predicts all."""
     profiles = train(docs.where(fold("doc_id", folds) != held))
-    return predict(docs, profiles, keep)
+    return predict(docs, profiles, keep, **names)

@@ -209,5 +209,5 @@ def entities_of_card(cards: DataFrame, card_col: str = "card") -> DataFrame:
         filled("state").alias("state"),
         filled("country").alias("country"),
         people.cast(f"array<{CONTACT}>").alias("contacts"),
-        F.least(F.col("_card")["confidence"] / 100, F.lit(1.0)).alias("aiConfidence"),
+        F.when(F.col("_card")["confidence"].isNotNull(), F.least(F.col("_card")["confidence"] / 100, F.lit(1.0))).alias("aiConfidence"),
     )

@@ -18,7 +18,7 @@ that loses all lines has an empty text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import forget, stored, workspace
@@ -31,25 +31,36 @@ GENERAL_FROM = 3
 _BLANK = " \t\x0b\f\r"
 
 
-def templates(tokens: Column) -> Column:
-    """The keys of a line's templates: even for the exact one, odd for the general ones."""
-    n = F.size(tokens)
-    lead = F.slice(tokens, 1, DEPTH)
-    rest = F.greatest(n - DEPTH, F.lit(0))
-    edges = [F.floor(rest * k / SEGMENTS).cast("int") for k in range(SEGMENTS + 1)]
-    parts = [F.xxhash64(F.slice(tokens, edges[k] + DEPTH + 1, edges[k + 1] - edges[k])) for k in range(SEGMENTS)]
+def parsed(lines: DataFrame, line: str = "line") -> DataFrame:
+    """``lines`` with the keys of each line's templates in ``keys``: even for the exact one, odd for the general ones.
+
+    Tokens are never made into arrays: with one space between them, runs of tokens are cut out by counting spaces.
+    Each step has its own ``select``, so that what many keys share is computed once.
+    """
+    trimmed = F.btrim(line, F.lit(_BLANK))
+    spaced = F.when(trimmed.rlike(r"[\t\x0b\f\r]|  "), F.regexp_replace(trimmed, r"[ \t\x0b\f\r]+", " ")).otherwise(trimmed)
+    rest = [F.col(c) for c in lines.columns if c != line]
+    now = lines.select(*rest, F.xxhash64(line).alias(line), spaced.alias("__s"))
+    masked = F.when(F.col("__s").rlike("[0-9]"), F.regexp_replace("__s", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(F.col("__s"))
+    now = now.select(*rest, line, masked.alias("__s"))
+    now = now.select(*rest, line, "__s", (F.octet_length("__s") - F.octet_length(F.replace("__s", F.lit(" "), F.lit(""))) + 1).alias("__n"))
+    after = "greatest(__n - {depth}, 0)".format(depth=DEPTH)
+    ends = [f"least(__n, {DEPTH})", *(f"{DEPTH} + cast(floor({after} * {k} / {SEGMENTS}) as int)" for k in range(1, SEGMENTS + 1))]
+    begins = ["0", *ends[:-1]]
+    cut = [F.expr(f"xxhash64(substring_index(substring_index(__s, ' ', {e}), ' ', ({b}) - ({e})))").alias(f"__p{k}") for k, (b, e) in enumerate(zip(begins, ends, strict=True))]
+    now = now.select(*rest, line, "__n", *cut)
+    n, lead, parts = F.col("__n"), F.col("__p0"), [F.col(f"__p{k + 1}") for k in range(SEGMENTS)]
     exact = F.xxhash64(n, lead, *parts).bitwiseAND(F.lit(-2))
     general = [F.xxhash64(n, lead, F.lit(k), *parts[:k], *parts[k + 1 :]).bitwiseOR(F.lit(1)) for k in range(SEGMENTS)]
-    return F.when(n >= GENERAL_TOKENS, F.array(exact, *general)).when(n >= LEAST, F.array(exact)).otherwise(F.array().cast("array<long>"))
+    keys = F.when(n >= GENERAL_TOKENS, F.array(exact, *general)).when(n >= LEAST, F.array(exact)).otherwise(F.array().cast("array<long>"))
+    return now.select(*rest, line, keys.alias("keys"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
     """``docs`` without the lines of recurring templates, with the numbers of lines that each text had and lost."""
     spark, at = docs.sparkSession, workspace(docs.sparkSession)
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.split(text_col, "\n")).alias("line"))
-    masked = F.regexp_replace(F.btrim("line", F.lit(_BLANK)), r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>")
-    tokens = lines.select("id", F.xxhash64("line").alias("line"), F.split(masked, r"[ \t\x0b\f\r]+").alias("tokens"))
-    keyed = stored(tokens.select("id", "line", templates(F.col("tokens")).alias("keys")).where(F.size("keys") > 0), f"{at}/keyed")
+    keyed = stored(parsed(lines), f"{at}/keyed")
     each = keyed.select("id", "line", F.explode("keys").alias("key"))
     counted = each.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
     often = (F.col("key").bitwiseAND(1) == 0) | (F.col("n") >= GENERAL_FROM)

@@ -458,3 +458,60 @@ def engine_routing(spark, at):
 @query("""SELECT c_custkey AS id, coalesce(nullif(CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_name END, ''), nullif(c_mktsegment, '')) AS name FROM customer""")
 def first_filled_names(spark, at):
     return users(spark, at).select("id", first_filled(F.when(F.col("id") % 2 == 0, "").otherwise(F.col("name")), F.col("email")).alias("name"))
+
+
+@query("""SELECT o_orderkey AS id, o_orderstatus AS status, o_custkey AS "uploadedById" FROM orders WHERE o_orderkey = 32""")
+def point_lookup(spark, at):
+    return uploads(spark, at).where(F.col("id") == 32).select("id", "status", "uploadedById")
+
+
+@query("""SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY c_acctbal, c_custkey LIMIT 1""")
+def default_owner(spark, at):
+    return leads.first_of(users(spark, at), [F.col("c_acctbal"), F.col("id")]).select("id", "name")
+
+
+_SQL_LINES = r"""SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r?\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents"""
+_WORDS = "|".join(extract.COMPANY_WORDS)
+
+
+@query(rf"""WITH l AS ({_SQL_LINES}), n AS (SELECT doc_id, list_filter(ls, lambda x: regexp_matches(lower(x), '\b({_WORDS})\b')) AS named, list_filter(ls[1:4], lambda x: x = upper(x) AND length(x) > 3) AS capitals FROM l)
+SELECT doc_id, coalesce(named[1], list_filter(capitals, lambda x: length(x) = list_max(list_transform(capitals, lambda y: length(y))))[1]) AS company FROM n""")
+def extract_company(spark, at):
+    return _texts(spark, at).select("doc_id", extract.lines(F.col("text")).alias("lines")).select("doc_id", extract.company(F.col("lines")).alias("company"))
+
+
+_STREETS = "|".join(w.replace(".", r"\.") for w in extract.ADDRESS_WORDS)
+
+
+@query(rf"""WITH l AS ({_SQL_LINES}), a AS (SELECT doc_id, array_to_string(list_filter(ls, lambda x: NOT (length(regexp_replace(x, '[^0-9]', '', 'g')) >= 8 AND length(regexp_replace(x, '[^A-Za-z]', '', 'g')) <= 3)
+  AND NOT regexp_matches(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}') AND (regexp_matches(x, '\b[0-9]{{6}}\b') OR regexp_matches(x, '(?i)\b({_STREETS})\b'))), ', ') AS address FROM l)
+SELECT doc_id, nullif(address, '') AS address, coalesce(nullif(regexp_extract(address, '\b[0-9]{{6}}\b'), ''), nullif(regexp_extract(address, '\b[0-9]{{5,6}}\b'), '')) AS "postalCode" FROM a""")
+def extract_address(spark, at):
+    found = _texts(spark, at).select("doc_id", extract.lines(F.col("text")).alias("lines")).select("doc_id", extract.address(F.col("lines")).alias("address"))
+    return found.select("doc_id", "address", extract.postal_code(F.col("address")).alias("postalCode"))
+
+
+@query("SELECT conv_id, turn, CASE " + " ".join(rf"WHEN regexp_matches(lower(text), '\b{d}\b') THEN '{d}'" for d in extract.DEPARTMENTS) + " END AS department FROM conversations")
+def find_department(spark, at):
+    return table(spark, at, "conversations").select("conv_id", "turn", extract.department(F.coalesce("text", F.lit(""))).alias("department"))
+
+
+@query(f"""WITH k AS ({_SQL_SUPPLIERS}) SELECT id, ne, np, nc FROM k""")
+def dup_keys(spark, at):
+    return dedup.keyed(_suppliers(spark, at)).select("id", "ne", "np", "nc")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_name = '' AND p_type = '' THEN 1.0 WHEN p_name = '' OR p_type = '' THEN 0.0 ELSE 1 - levenshtein(p_name, p_type)::DOUBLE / greatest(length(p_name), length(p_type)) END::DOUBLE AS similarity FROM part""")
+def name_similarity(spark, at):
+    return table(spark, at, "part").select(F.col("p_partkey").alias("id"), dedup.similarity(F.col("p_name"), F.col("p_type")).alias("similarity"))
+
+
+@query(rf"""WITH f AS ({_SQL_FIELDS}), s AS (SELECT page_id, email <> '' AS has, CASE WHEN NOT regexp_matches(email, '^[^\s@]+@[^\s@]+\.[^\s@]{{2,}}$') THEN 0.2 WHEN regexp_matches(email, '(?i)^info@') THEN 0.7 ELSE 0.99 END::DOUBLE AS e,
+  CASE WHEN length(regexp_replace(phone, '[^0-9]', '', 'g')) BETWEEN 8 AND 15 THEN 0.95 ELSE 0.3 END::DOUBLE AS p FROM f)
+SELECT page_id, round(least(1.0::DOUBLE, 0.1::DOUBLE + (CASE WHEN has THEN e * 2 ELSE 0 END + p * 2) / (CASE WHEN has THEN 4 ELSE 2 END) * 0.8::DOUBLE), 4)::DOUBLE AS confidence FROM s""")
+def lead_confidence(spark, at):
+    host, k, none = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)), F.col("page_id") % 4, F.lit(None).cast("string")
+    email = F.when(k == 0, F.concat(F.lit("info@"), host)).when(k == 1, F.concat(F.lit("x"), F.col("page_id"), F.lit("@"), host)).when(k == 2, host).otherwise("")
+    phone = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("+91 98765 4"), F.col("page_id"))).otherwise(F.col("page_id").cast("string"))
+    rows = table(spark, at, "pages").select("page_id", email.alias("email"), phone.alias("phonePrimary"), *(none.alias(c) for c in ("phoneSecondary", "website", "gstin", "linkedin", "postalCode", "address", "city", "state", "country")), F.lit("A").alias("companyName"), F.lit(None).cast(f"array<{extract.CONTACT}>").alias("contacts"))
+    return validate.validate_leads(rows).select("page_id", F.col("overallConfidence").alias("confidence"))

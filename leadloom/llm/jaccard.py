@@ -16,9 +16,10 @@ How the work is kept small, whatever the groups:
 * Equal sets are one class from the start, and a task indexes a class once.
 * The frequencies are estimates (counts of what a task sees often): they decide
   the order of shingles and the choice of ``l``, never the result.
-* Each class is first verified against the best of the classes that come first
-  or just before it in its posting lists; groups of near copies become components by
-  that, without their pairs.  Then only pairs across components are counted,
+* Posting lists begin with the classes that are made of frequent shingles most,
+  the middles of groups.  Each class is first verified against the best of those
+  that come first or just before it in its lists; groups of near copies become
+  components by that, without their pairs.  Then only pairs across components are counted,
   which loses no connection: a link inside a component changes none.
 
 Edge cases: a null, empty or blank text has no shingles, is its own component and
@@ -53,7 +54,12 @@ FREQUENT_FROM = 8
 BROADCAST_IDS = 1_000_000
 #: Verifying a candidate costs as much as this many index rows.
 VERIFY_COST = 12.0
-LONGEST = 64
+#: Following one entry of a posting list costs as much as this many index rows.
+SCAN_COST = 48.0
+#: Greatest l. A row's meta packs, from the top: 4 bits of rank (0: most of the text is frequent), 27 of size, 26 of position, 6 of l.
+LONGEST = 63
+_SIZE, _PLACE = 32, 6
+_SIZE_MASK, _PLACE_MASK, _L_MASK = (1 << 27) - 1, (1 << 26) - 1, 63
 _SLICE = 1 << 20
 
 
@@ -104,7 +110,7 @@ def frequent(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np.
                     codes, counts = merged()
                     held, rows = [], 0
         codes, counts = merged()
-        keep = counts >= 4
+        keep = counts >= 2
         yield pa.RecordBatch.from_arrays([pa.array(codes[keep].view(np.int64)), pa.array(counts[keep])], names=["code", "n"])
 
     found = docs.select(text_col).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
@@ -114,8 +120,8 @@ def frequent(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np.
     return codes[order], counts[order]
 
 
-def prefix(shingles: np.ndarray, codes: np.ndarray, counts: np.ndarray, threshold: Fraction = THRESHOLD) -> tuple[int, np.ndarray]:
-    """(l, the first shingles of the text for that l)."""
+def prefix(shingles: np.ndarray, codes: np.ndarray, counts: np.ndarray, threshold: Fraction = THRESHOLD) -> tuple[int, int, np.ndarray]:
+    """(l, rank by the share of frequent shingles, the first shingles of the text for that l)."""
     n = len(shingles)
     shared = math.ceil(threshold * n)
     base = n - shared + 1
@@ -128,8 +134,9 @@ def prefix(shingles: np.ndarray, codes: np.ndarray, counts: np.ndarray, threshol
     most = min(shared, LONGEST, 1 + base)
     expected = np.cumsum(np.maximum(often[order[: base + most - 1]] - 1, 0.05))
     lengths = np.arange(1, most + 1)
-    best = 1 + int(np.argmin(lengths + VERIFY_COST * expected[base - 2 + lengths] / lengths))
-    return best, shingles[order[: base - 1 + best]]
+    met = expected[base - 2 + lengths]
+    best = 1 + int(np.argmin(lengths + SCAN_COST * met + VERIFY_COST * met / lengths))
+    return best, 15 - int(15 * np.count_nonzero(often) / n), shingles[order[: base - 1 + best]]
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: Fraction, codes: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -140,24 +147,25 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, threshold
         seen: set[int] = set()
         for batch in batches:
             for at, texts in _slices(batch.column(1)):
-                sizes, classes, asked, parts, ends = [], [], [], [], [0]
+                sizes, classes, asked, ranks, parts, ends = [], [], [], [], [], [0]
                 for s in _sets(texts, size):
                     c = _class(s) if len(s) else None
                     sizes.append(len(s))
                     classes.append(c)
-                    l, first = 0, s[:0]
+                    l, rank, first = 0, 0, s[:0]
                     if c is not None and c not in seen:
                         seen.add(c)
-                        l, first = prefix(s, *sent.value, threshold)
+                        l, rank, first = prefix(s, *sent.value, threshold)
                     asked.append(l)
+                    ranks.append(rank)
                     parts.append(first)
                     ends.append(ends[-1] + len(first))
                 flat = np.concatenate(parts).view(np.int64)
-                cols = [batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(asked, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n", "class", "l", "prefix"])
+                cols = [batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(asked, pa.int64()), pa.array(ranks, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n", "class", "l", "rank", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n long, class long, l long, prefix array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n long, class long, l long, rank long, prefix array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,121 +211,170 @@ def _similar_sizes(a: str, b: str, threshold: Fraction):
 
 
 def _across(threshold: Fraction, block: int = 1 << 20):
-    """Of rows (token, component, class, meta) sorted by token: the pairs of classes across components, with how often they meet."""
+    """Of rows (token, component, class, meta) sorted by token: the pairs of classes across components, with how often they meet.
+
+    A meeting counts only where the pair could still be similar: a pair of n and m shingles shares at least
+    ``a = ceil(t / (1 + t) * (n + m))``, so its first l common ones lie below ``n - a + l`` and ``m - a + l``.
+    """
+    up, down = threshold.numerator, threshold.numerator + threshold.denominator
+
+    def kept(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
+        _, comp, cls, meta = rows
+        n, place, l = (meta >> _SIZE) & _SIZE_MASK, (meta >> _PLACE) & _PLACE_MASK, meta & _L_MASK
+        need = np.minimum(l[i], l[j])
+        spare = need + (-(up * (n[i] + n[j])) // down)  # l - a
+        good = (comp[i] != comp[j]) & (place[i] < n[i] + spare) & (place[j] < n[j] + spare)
+        i, j, need = i[good], j[good], need[good]
+        if len(i):
+            low = cls[i] < cls[j]
+            yield np.where(low, cls[i], cls[j]), np.where(low, cls[j], cls[i]), need
 
     def pairs(rows: np.ndarray) -> Iterator[tuple]:
-        order = np.argsort(rows[3] >> 8, kind="stable")
-        _, comp, cls, meta = rows[:, order]
-        n = meta >> 8
-        # By size, the partners of a row are those up to the greatest size that can be similar.
-        end = np.searchsorted(n, n * threshold.denominator // threshold.numerator, side="right")
-        at, count = 0, end - np.arange(len(n)) - 1
-        while at < len(n):
-            stop = at + 1
-            total = count[at]
-            while stop < len(n) and total + count[stop] <= block:
-                total += count[stop]
-                stop += 1
-            i = np.repeat(np.arange(at, stop), count[at:stop])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[at:stop]) - count[at:stop], count[at:stop])
-            apart = comp[i] != comp[j]
-            i, j = i[apart], j[apart]
-            if len(i):
-                low = cls[i] < cls[j]
-                yield np.where(low, cls[i], cls[j]), np.where(low, cls[j], cls[i]), np.where(low, meta[i], meta[j]), np.where(low, meta[j], meta[i])
-            at = stop
+        """All pairs of a posting list, by size: the partners of a row are those up to the greatest size that can be similar."""
+        meta = rows[3]
+        n = (meta >> _SIZE) & _SIZE_MASK
+        order = np.argsort(n, kind="stable")
+        rows, n = rows[:, order], n[order]
+        if len(n) < 64:
+            end = np.searchsorted(n, n * threshold.denominator // threshold.numerator, side="right")
+            count = end - np.arange(len(n)) - 1
+            i = np.repeat(np.arange(len(n)), count)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            yield from kept(rows, i, j)
+            return
+        # Long lists: for two sizes, only rows that are placed low enough, and never two of the commonest component.
+        place, most = (rows[3] >> _PLACE) & _PLACE_MASK, int((rows[3] & _L_MASK).max())
+        sizes, first = np.unique(n, return_index=True)
+        edges = np.append(first, len(n))
+        for x, a in enumerate(sizes.tolist()):
+            for y in range(x, len(sizes)):
+                b = int(sizes[y])
+                if b * threshold.numerator > a * threshold.denominator:
+                    break
+                spare = most - -(-up * (a + b) // down)
+                left = edges[x] + np.flatnonzero(place[edges[x] : edges[x + 1]] < a + spare)
+                right = left if x == y else edges[y] + np.flatnonzero(place[edges[y] : edges[y + 1]] < b + spare)
+                if not len(left) or not len(right):
+                    continue
+                names, times = np.unique(rows[1][np.concatenate([left, right])], return_counts=True)
+                if len(names) == 1:
+                    continue
+                common = names[times.argmax()]
+                left_in, right_in = rows[1][left] == common, rows[1][right] == common
+                if x == y:
+                    rare = left[~left_in]
+                    jobs = [(rare, left[left_in], False), (rare, rare, True)]
+                else:
+                    jobs = [(left[~left_in], right, False), (left[left_in], right[~right_in], False)]
+                for p, q, same in jobs:
+                    step = max(1, block // max(1, len(q)))
+                    for at in range(0, len(p), step):
+                        part = np.arange(at, min(at + step, len(p)))
+                        i, j = np.repeat(part, len(q)), np.tile(np.arange(len(q)), len(part))
+                        if same:
+                            i, j = i[i < j], j[i < j]
+                        yield from kept(rows, p[i], q[j])
 
     def summed(held: list[tuple]) -> pa.RecordBatch:
-        a, b, ma, mb = (np.concatenate(x) for x in zip(*held, strict=True))
+        a, b, need = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((b, a))
-        a, b, ma, mb = a[order], b[order], ma[order], mb[order]
+        a, b, need = a[order], b[order], need[order]
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         times = np.diff(np.append(first, len(a)))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], ma[first], mb[first], times)], names=["a", "b", "a_meta", "b_meta", "times"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], need[first], times)], names=["a", "b", "need", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, rest = [], 0, np.zeros((4, 0), np.int64)
-        for batch in batches:
-            rows = np.concatenate([rest, np.stack([batch.column(k).to_numpy() for k in range(4)])], axis=1)
-            cuts = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
-            edges = np.concatenate([[0], cuts])
-            for k in range(len(edges) - 1):
-                for found in pairs(rows[:, edges[k] : edges[k + 1]]):
-                    held.append(found)
-                    size += len(found[0])
-                    if size > block:
-                        yield summed(held)
-                        held, size = [], 0
-            rest = rows[:, edges[-1] :]
-        for found in pairs(rest):
-            held.append(found)
-            size += len(found[0])
-            if size > block:
-                yield summed(held)
-                held, size = [], 0
+
+        def lists() -> Iterator[np.ndarray]:
+            nonlocal rest
+            for batch in batches:
+                rows = np.concatenate([rest, np.stack([batch.column(k).to_numpy() for k in range(4)])], axis=1)
+                edges = np.concatenate([[0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1])
+                for k in range(len(edges) - 1):
+                    yield rows[:, edges[k] : edges[k + 1]]
+                rest = rows[:, edges[-1] :]
+            yield rest
+
+        for posting in lists():
+            for found in pairs(posting):
+                held.append(found)
+                size += len(found[0])
+                if size > block:
+                    yield summed(held)
+                    held, size = [], 0
         if held:
             yield summed(held)
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, as links."""
+def _verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame, at: str, id_col: str, text_col: str, size: int, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar, as links. The sets are made from one text of each class that is in a pair."""
+    spark = docs.sparkSession
+    pairs = stored(pairs, f"{at}/pairs")
+    known = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = stored(ids.where(F.col("class").isNotNull()).join(known, "class", "left_semi").groupBy("class").agg(F.min(id_col).alias(id_col)), f"{at}/wanted")
+    some = wanted.select(id_col).distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        some = F.broadcast(some)
+    texts = docs.select(id_col, text_col).join(some, id_col, "left_semi").select(text_col)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in _slices(batch.column(0)):
+                found = [s for s in _sets(part, size) if len(s)]
+                if found:
+                    ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))], names=["class", "shingles"])
+
+    sets = stored(texts.mapInArrow(shingles, "class long, shingles array<long>"), f"{at}/sets")
     first, second = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
-    joined = pairs.select("a", "b").join(first, "a").join(second, "b")
+    joined = pairs.join(first, "a").join(second, "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     either = F.size("of_a") + F.size("of_b") - common
-    return joined.where(common * threshold.denominator >= either * threshold.numerator).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    similar = joined.where(common * threshold.denominator >= either * threshold.numerator)
+    links = stored(similar.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{at}/links")
+    forget(spark, f"{at}/sets", f"{at}/pairs", f"{at}/wanted")
+    return links
 
 
 def join(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: its number of shingles and its component, named by the component's least id."""
     spark, at = docs.sparkSession, workspace(docs.sparkSession)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        return _verify(docs, ids, pairs, f"{at}/{name}", id_col, text_col, size, threshold)
+
     codes, counts = frequent(docs, text_col, size)
     full = stored(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size, threshold, codes, counts), f"{at}/full")
 
     # The index: posting lists of the prefixes, of which only those with several classes stay.
-    index = full.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "class", (F.shiftleft("n", 8) + F.col("l")).alias("meta"))
+    index = full.where(F.size("prefix") > 0).select("class", "n", "l", "rank", F.posexplode("prefix").alias("place", "token"))
+    meta = F.shiftleft("rank", 59) + F.shiftleft("n", _SIZE) + F.shiftleft(F.col("place").cast("long"), _PLACE) + F.col("l")
+    index = index.select("token", "class", meta.alias("meta"))
     runs = index.repartition("token").sortWithinPartitions("token", "meta", "class").mapInArrow(_runs, "token long, class long, meta long, lead long, lead_meta long, prior long, prior_meta long")
     shared = stored(runs, f"{at}/shared")
     ids = stored(full.select(id_col, "n", "class"), f"{at}/ids")
     forget(spark, f"{at}/full")
 
-    # The sets of the classes that share a token, from one of their texts.
-    known = shared.select("class").distinct()
-    wanted = stored(ids.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(id_col).alias(id_col)).join(known, "class", "left_semi"), f"{at}/wanted")
-    some = wanted.select(id_col).distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        some = F.broadcast(some)
-    texts = docs.select(id_col, text_col).join(some, id_col, "left_semi").select(text_col)
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, part in _slices(batch.column(0)):
-                found = [s for s in _sets(part, size) if len(s)]
-                if found:
-                    ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))], names=["class", "shingles"])
-
-    sets = stored(texts.mapInArrow(shingles, "class long, shingles array<long>"), f"{at}/sets")
-
     # First each class with the best of those that lead its posting lists or come before it there.
+    sized = lambda c: F.shiftright(c, _SIZE).bitwiseAND(_SIZE_MASK)
     met = shared.where(F.col("class") != F.col("lead")).select(
-        "class", F.shiftright("meta", 8).alias("n"), F.explode(F.array(F.struct(F.col("lead").alias("with"), F.shiftright("lead_meta", 8).alias("m")), F.struct(F.col("prior").alias("with"), F.shiftright("prior_meta", 8).alias("m")))).alias("x")
+        "class", sized("meta").alias("n"), F.explode(F.array(F.struct(F.col("lead").alias("with"), sized("lead_meta").alias("m")), F.struct(F.col("prior").alias("with"), sized("prior_meta").alias("m")))).alias("x")
     )
     met = met.select("class", "n", "x.with", "x.m").where(_similar_sizes("n", "m", threshold)).groupBy("class", "with").agg(F.count("*").alias("times"), F.first("n").alias("n"))
     best = met.where((F.col("times") >= 2) & (F.col("times") * 32 >= F.col("n"))).groupBy("class").agg(F.max(F.struct("times", "with")).alias("x"))
-    links = stored(_verified(best.select(F.col("class").alias("a"), F.col("x.with").alias("b")), sets, threshold), f"{at}/links")
+    links = verified(best.select(F.col("class").alias("a"), F.col("x.with").alias("b")), "first")
     near = components(links, f"{at}/near")
 
     # Then all pairs across what is not connected yet.
     placed = shared.select("token", "class", "meta").join(near, F.col("class") == F.col("node"), "left").select("token", F.coalesce("component", "class").alias("component"), "class", "meta")
     several = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("token")
     placed = stored(placed.join(several, "token", "left_semi"), f"{at}/placed")
-    pairs = placed.repartition("token").sortWithinPartitions("token").mapInArrow(_across(threshold), "a long, b long, a_meta long, b_meta long, times long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("a_meta").alias("a_meta"), F.first("b_meta").alias("b_meta"))
-    pairs = pairs.where(F.col("times") >= F.least(F.col("a_meta").bitwiseAND(255), F.col("b_meta").bitwiseAND(255)))
-    more = stored(_verified(pairs, sets, threshold), f"{at}/more")
+    pairs = placed.repartition("token").sortWithinPartitions("token").mapInArrow(_across(threshold), "a long, b long, need long, times long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("need").alias("need")).where(F.col("times") >= F.col("need"))
+    more = verified(pairs.select("a", "b"), "second")
 
     # Ids with several texts tie their classes together.
     twice = ids.where(F.col("class").isNotNull()).groupBy(id_col).agg(F.min("class").alias("u"), F.max("class").alias("x")).where(F.col("u") != F.col("x")).select(id_col, "u")

@@ -42,6 +42,7 @@ BLOCK = 3000
 DIRECTORY = 500_000
 ROLL_BYTES = 256 << 20
 _CHUNK = 1 << 18
+_FOUND = 10_000
 _DATE = "1970-01-01T00:00:00Z"
 
 
@@ -159,8 +160,7 @@ def index(captures: DataFrame, root: str) -> DataFrame:
 
         try:
             for batch in batches:
-                # A key holds no tab or line end, as a look-up's key is escaped alike.
-                held += [(_escaped(k), *x) for k, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
                 while len(held) >= size:
                     close(held[:size])
                     held = held[size:]
@@ -172,45 +172,52 @@ def index(captures: DataFrame, root: str) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["first", "file", "offset", "length"])
 
-    ordered = rows.select("key", "file", "offset", "length").repartitionByRange("key").sortWithinPartitions("key")
+    ordered = rows.select(_escaped(F.col("key")).alias("key"), "file", "offset", "length").repartitionByRange("key").sortWithinPartitions("key")
     return stored(ordered.mapInArrow(run, "first string, file string, offset long, length long"), f"{root}/directory")
 
 
-def _escaped(key: str) -> str:
-    return key.replace("\t", "%09").replace("\n", "%0A") if "\t" in key or "\n" in key else key
+def _escaped(key: Column) -> Column:
+    """The key as it is sorted, filed and looked up: no tab or line end, and different for different keys."""
+    return F.replace(F.replace(F.replace(key, F.lit("%"), F.lit("%25")), F.lit("\t"), F.lit("%09")), F.lit("\n"), F.lit("%0A"))
 
 
 def lookup(keys: DataFrame, directory: DataFrame, root: str) -> DataFrame:
-    """(key, file, offset, length) of the captures that ``keys`` (a column ``key`` of capture keys) name."""
+    """(key, file, offset, length) of all captures that ``keys`` (a column ``key`` of capture keys) name."""
     entries = directory.toArrow().to_pylist()  # DIRECTORY rows at most
-    entries.sort(key=lambda x: x["first"])
+    entries.sort(key=lambda x: (x["first"], x["file"], x["offset"]))  # blocks with one first key lie in one file, in order
     sent = keys.sparkSession.sparkContext.broadcast(([x["first"] for x in entries], [(x["file"], x["offset"], x["length"]) for x in entries]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _fs(root)
         firsts, places = sent.value
-        now, block, block_keys = -1, [], []
+        now, block, block_keys, found = -1, [], [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["key", "file", "offset", "length"])
+
         for batch in batches:
-            found = []
-            for key in batch.column(0).to_pylist():
-                wanted = _escaped(key)
-                k = bisect.bisect_right(firsts, wanted) - 1
-                if k < 0:
-                    continue
-                if k != now:
-                    name, at, length = places[k]
-                    with fs.open_input_file(f"{base}/index/{name}") as f:
-                        block = [x.split("\t") for x in zlib.decompress(f.read_at(length, at)).decode().split("\n")]
-                    now, block_keys = k, [x[0] for x in block]
-                i = bisect.bisect_left(block_keys, wanted)
-                while i < len(block) and block_keys[i] == wanted:
-                    found.append((key, block[i][1], int(block[i][2]), int(block[i][3])))
-                    i += 1
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["key", "file", "offset", "length"])
-
-    ordered = keys.select("key").where(F.col("key").isNotNull()).distinct().repartitionByRange("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, "key string, file string, offset long, length long")
+            for key, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # The block before the first that begins with the key may end with it; the key may go on over many blocks.
+                k = max(0, bisect.bisect_left(firsts, wanted) - 1)
+                while k < len(firsts) and firsts[k] <= wanted:
+                    if k != now:
+                        name, at, length = places[k]
+                        with fs.open_input_file(f"{base}/index/{name}") as f:
+                            block = [x.split("\t") for x in zlib.decompress(f.read_at(length, at)).decode().split("\n")]
+                        now, block_keys = k, [x[0] for x in block]
+                    i = bisect.bisect_left(block_keys, wanted)
+                    while i < len(block) and block_keys[i] == wanted:
+                        found.append((key, block[i][1], int(block[i][2]), int(block[i][3])))
+                        i += 1
+                    k += 1
+                    if len(found) >= _FOUND:
+                        yield out()
+                        found = []
+        if found:
+            yield out()
+
+    wanted = keys.select("key", _escaped(F.col("key")).alias("wanted")).where(F.col("key").isNotNull()).distinct()
+    return wanted.repartitionByRange("wanted").sortWithinPartitions("wanted").mapInArrow(run, "key string, file string, offset long, length long")
 
 
 def read(places: DataFrame, root: str) -> DataFrame:

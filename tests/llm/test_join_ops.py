@@ -200,6 +200,18 @@ def test_warc(spark, tmp_path, monkeypatch):
     assert warc.index(warc.write(pages.limit(0), empty), empty).count() == 0
 
 
+def test_warc_equal_keys(spark, tmp_path, monkeypatch):
+    """Captures with one key come back from all blocks that hold it, and keys with tabs, line ends and their escapes stay apart."""
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    rows = [(None, "http://n.de/", f"n{k}") for k in range(25)] + [(7, "http://a.de/x", "same")] * 8
+    rows += [(k, f"http://a.de/{'x' * (k % 5)}", f"p{k}") for k in range(10, 40)]
+    rows += [(None, f"http://t.de/a{c}{d}", f"t{k}") for k, (c, d) in enumerate((c, d) for c in ("\t", "\n", "%09", "%0A", "%", " ", "$", "") for d in ("", "a", "z"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    got = sorted((r["page_id"] or 0, r["payload_digest"]) for r in op6_warc(spark, str(tmp_path)).collect())
+    assert got == sorted((k or 0, digest(h)) for k, _, h in rows)
+
+
 def test_warc_record():
     raw = warc.record(3, "http://x/ä b\r\n", b"pay\r\n\r\nload", "D", None)
     got = warc.parsed(raw)

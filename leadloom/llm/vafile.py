@@ -12,15 +12,20 @@ Queries are taken in blocks of at most ``query_block`` rows, which bounds what a
 task gets; more queries make more passes, not larger ones.
 
 Scores are integer inner products.  Ties go to the smaller id.  Null vectors,
-vectors with null or non-finite components, rows without an id, and vectors with
-a component of 2**26 or more in size (their scores could leave 64 bits) take no
-part; nor do vectors of another dimension than the query's.  Empty vectors score
-0 with one another.  Repeated rows are candidates as often as they occur, but a
-query meets no row of its own id.  Empty tables give no rows.
+vectors with null or non-finite components and rows without an id take no part;
+nor do vectors of another dimension than the query's.  Vectors with components so
+large that scores could leave 64 bits are bounded in doubles and scored in whole
+numbers of any size; their places are exact, and ``score`` is null where it does
+not fit.  Empty vectors score 0 with one another.  Repeated rows are candidates
+as often as they occur, but a query meets no row of its own id.  Equal query rows
+are one query; query rows of one id with other vectors each have their own ranks.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,16 +36,29 @@ from pyspark.sql import functions as F
 BITS = 8
 QUERY_BLOCK = 8192
 _ROWS = 4096
-_LIMIT = 1 << 26
+SCALE = 256
+_BYTES = 264  # of the largest score: products of doubles, a sum of up to 2 ** 31 of them
 
 
-def scaled(vector: Column, by: int = 256) -> Column:
-    """``floor(by * x)`` of each component x as double; null where the vector takes no part."""
-    made = F.transform(vector, lambda x: F.floor(x.cast("double") * by))
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * by) < _LIMIT))
+def scaled(vector: Column) -> Column:
+    """Each component as double, rounded down to a whole number of ``SCALE``ths; null where the vector takes no part."""
+    x256 = lambda x: F.floor(x * SCALE) / SCALE
+    made = F.transform(F.transform(vector, lambda x: x.cast("double")), lambda x: F.when(F.abs(x) < 1 << 45, x256(x)).otherwise(x))
+    fine = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
     return F.when(vector.isNotNull() & fine, made)
 
 
+def _whole(vector: np.ndarray) -> list[int]:
+    """``SCALE`` times each component, exact."""
+    return [int(x * SCALE) if abs(x) < 1 << 60 else int(x) * SCALE for x in vector.tolist()]
+
+
+def _narrow(vectors: np.ndarray) -> np.ndarray:
+    """Which rows have scores with one another that fit 64 bits, and components that fit 32."""
+    limit = min(1 << 26, math.isqrt((1 << 62) // max(1, vectors.shape[1])))
+    return (np.abs(vectors) < limit / SCALE).all(axis=1)
+
+
 class Cells:
     """The approximations of some vectors of one dimension."""
 
@@ -56,7 +74,8 @@ class Cells:
         centre = self.low + half + self.codes * self.width
         middle = queries @ centre.T
         slack = (np.abs(queries) @ half)[:, None]
-        slack = slack + 1e-9 * np.abs(middle).max(initial=1.0)
+        most = np.abs(queries) @ np.abs(centre).max(axis=0)  # of which a sum in doubles is wrong by a small part
+        slack = slack + ((len(half) + 2) * 2.0**-51 * most + 1e-9)[:, None]
         return middle - slack, middle + slack
 
 
@@ -65,6 +84,35 @@ def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[order], scores[order]
 
 
+def _floor(low: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int) -> np.ndarray:
+    """What at least k rows of other ids reach for each query, by their least scores."""
+    if len(ids) <= k:
+        return np.full(len(low), -np.inf)
+    others = np.where(ids == query_ids[:, None], -np.inf, low)
+    return np.partition(others, len(ids) - k, axis=1)[:, len(ids) - k]
+
+
+def search_wide(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    """For each query its k best (less the score, id) of some vectors of any size. Doubles bound the scores; what could be among the best is scored exactly."""
+    out, whole = [], {}
+    for at in range(0, len(queries), 256):
+        block = queries[at : at + 256]
+        with np.errstate(over="ignore", invalid="ignore"):
+            middle, most = block @ vectors.T, np.abs(block) @ np.abs(vectors).T
+            slack = most * ((block.shape[1] + 2) * 2.0**-51)
+            known = np.isfinite(most) & np.isfinite(middle)
+            low, high = np.where(known, middle - slack, -np.inf), np.where(known, middle + slack, np.inf)
+        floor = _floor(low, ids, query_ids[at : at + 256], k)
+        for i, query in enumerate(block):
+            near = np.flatnonzero((high[i] >= floor[i]) & (ids != query_ids[at + i]))
+            mine = _whole(query)
+            for j in near.tolist():
+                if j not in whole:
+                    whole[j] = _whole(vectors[j])
+            out.append(heapq.nsmallest(k, ((-sum(x * y for x, y in zip(mine, whole[j], strict=True)), int(ids[j])) for j in near.tolist())))
+    return out
+
+
 def search_file(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query its k best (ids, scores) of one file."""
     cells, exact = Cells(vectors, bits), vectors.astype(np.int64)
@@ -72,10 +120,7 @@ def search_file(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vec
     for at in range(0, len(queries), 256):
         block = queries[at : at + 256]
         low, high = cells.bounds(block.astype(np.float64))
-        if len(ids) > k + 1:  # one more than k, as the query itself may be among them
-            floor = np.partition(low, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
-        else:
-            floor = np.full(len(block), -np.inf)
+        floor = _floor(low, ids, query_ids[at : at + 256], k)
         for i, query in enumerate(block.astype(np.int64)):
             near = np.flatnonzero((high[i] >= floor[i]) & (ids != query_ids[at + i]))
             near = near[np.argsort(-high[i, near], kind="stable")]
@@ -92,64 +137,98 @@ def search_file(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vec
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = BITS, query_block: int = QUERY_BLOCK, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best of ``vectors`` for each of ``queries``; both have an id and an array<long>."""
+    """(query_id, rank, vec_id, score) of the k best of ``vectors`` for each of ``queries``; both have an id and a vector as ``scaled`` makes it."""
+    queries = queries.select(id_col, vector_col).distinct()
     total = queries.count()
     blocks = max(1, -(-total // query_block))
     parts = []
     for b in range(blocks):
-        mine = queries.select(id_col, vector_col)
+        mine = queries
         if blocks > 1:
-            mine = mine.where(F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(blocks)) == b)
-        parts.append(_pass(vectors, mine.toArrow(), k, bits, id_col, vector_col))
+            mine = mine.where(F.pmod(F.xxhash64(id_col, vector_col, F.lit(7)), F.lit(blocks)) == b)
+        parts.append(_pass(vectors, mine.toArrow(), b << 32, k, bits, id_col, vector_col))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("wide"), F.desc("score"), F.desc("key"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _grouped(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dimension, ids, matrix) of the rows of each dimension."""
+def _grouped(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dimension, places, ids, matrix) of the rows of each dimension."""
     sizes = vectors.value_lengths().to_numpy()
     flat, ids = vectors.flatten().to_numpy(), ids.to_numpy()
     starts = np.cumsum(sizes) - sizes
     for size in np.unique(sizes):
         rows = np.flatnonzero(sizes == size)
-        yield int(size), ids[rows], flat[starts[rows][:, None] + np.arange(size)]
+        yield int(size), rows, ids[rows], flat[starts[rows][:, None] + np.arange(size)]
 
 
-def _pass(vectors: DataFrame, table: pa.Table, k: int, bits: int, id_col: str, vector_col: str) -> DataFrame:
+def _pass(vectors: DataFrame, table: pa.Table, number: int, k: int, bits: int, id_col: str, vector_col: str) -> DataFrame:
+    """(query, query_id, vec_id, score, wide, key): the k best of each file; queries are numbered from ``number`` on. A score outside 64 bits is null, with its sign in ``wide`` and its order in ``key``."""
     spark = vectors.sparkSession
     table = table.combine_chunks()
     mine = {}
     if table.num_rows:
-        # Smaller numbers where they fit: this is what each executor gets.
-        mine = {size: (ids, m.astype(np.int32)) for size, ids, m in _grouped(table.column(0).chunk(0), table.column(1).chunk(0))}
+        numbers = np.arange(number, number + table.num_rows)
+        for size, rows, ids, m in _grouped(table.column(0).chunk(0), table.column(1).chunk(0)):
+            small = _narrow(m)
+            # Smaller numbers where they fit: this is what each executor gets.
+            mine[size] = (numbers[rows][small], ids[small], (m[small] * SCALE).astype(np.int32)), (numbers[rows][~small], ids[~small], m[~small])
     sent = spark.sparkContext.broadcast(mine)  # query_block vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {}
+        large: dict[int, dict[int, list]] = {}
         held: dict[int, list] = {}
 
+        def search_large(size: int, queries: tuple, ids: np.ndarray, matrix: np.ndarray) -> None:
+            numbers, query_ids, asked = queries
+            if not len(asked) or not len(ids):
+                return
+            known = large.setdefault(size, {})
+            for n, query_id, found in zip(numbers.tolist(), query_ids.tolist(), search_wide(query_ids, asked, ids, matrix, k), strict=True):
+                known[n] = (query_id, heapq.nsmallest(k, found + known.get(n, (0, []))[1]))
+
         def search(size: int) -> None:
-            query_ids, queries = sent.value[size]
+            small, wide = sent.value[size]
             ids, matrix = (np.concatenate(x) for x in zip(*held.pop(size), strict=True))
-            found = search_file(query_ids, queries, ids, matrix, k, bits)
-            if size in best:
-                found = [_top(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), k) for a, b in zip(best[size], found, strict=True)]
-            best[size] = found
+            fits = _narrow(matrix)
+            search_large(size, wide, ids, matrix)
+            if not fits.all():
+                search_large(size, (small[0], small[1], small[2] / SCALE), ids[~fits], matrix[~fits])
+                ids, matrix = ids[fits], matrix[fits]
+            if len(ids) and len(small[1]):
+                found = search_file(small[1], small[2], ids, (matrix * SCALE).astype(np.int64), k, bits)
+                if size in best:
+                    found = [_top(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), k) for a, b in zip(best[size], found, strict=True)]
+                best[size] = found
 
         for batch in batches:
-            for size, ids, matrix in _grouped(batch.column(0), batch.column(1)):
+            for size, _, ids, matrix in _grouped(batch.column(0), batch.column(1)):
                 if size in sent.value:
                     held.setdefault(size, []).append((ids, matrix))
                     if sum(len(x[0]) for x in held[size]) >= _ROWS:
                         search(size)
         for size in list(held):
             search(size)
+        names = ["query", "query_id", "vec_id", "score", "wide", "key"]
         for size, found in best.items():
-            query_ids = sent.value[size][0]
+            numbers, query_ids, _ = sent.value[size][0]
             counts = [len(f[0]) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, counts)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["query_id", "vec_id", "score"])
-
-    return vectors.select(id_col, vector_col).mapInArrow(run, "query_id long, vec_id long, score long")
+            total = sum(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, counts)), pa.array(np.repeat(query_ids, counts)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.zeros(total, np.int32)), pa.nulls(total, pa.binary())], names=names)
+        for known in large.values():
+            rows = [(n, query_id, vec_id, *_ordered(-less)) for n, (query_id, found) in known.items() for less, vec_id in found]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return vectors.select(id_col, vector_col).mapInArrow(run, "query long, query_id long, vec_id long, score long, wide int, key binary")
+
+
+def _ordered(score: int) -> tuple[int | None, int, bytes | None]:
+    """(score, wide, key): the score if 64 bits hold it, else its sign and bytes that sort as it does."""
+    if -(1 << 63) <= score < 1 << 63:
+        return score, 0, None
+    return None, 1 if score > 0 else -1, (score + (1 << (8 * _BYTES - 1))).to_bytes(_BYTES, "big")

@@ -144,6 +144,26 @@ def test_top_k(spark, monkeypatch):
     assert vafile.top_k(vectors.limit(0), queries.limit(0)).count() == 0
 
 
+def test_top_k_repeated_and_large(spark, tmp_path):
+    """Own copies do not push true neighbours out, repeated queries are ranked once, and large components take part."""
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in rng.normal(size=3)]) for k in range(1, 50)]
+    rows += [(50, [9.0, 9.0, 9.0])] * 4 + [(100, [1.0, 2.0, 3.0]), (100, [-1.0, 2.0, 0.5])]
+    rows += [(60, [300000.5, -2.0, 1.0]), (61, [1e18, -1e18, 3.0]), (61, [1e18, -1e18, 3.0]), (62, [-1e308, 5.0, 1e300]), (63, [1.7e308, 1.7e308, 1.0]), (150, [1e308, 1e308, -1e308]), (200, [1e9, -1e9, 1e-3])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2).write.parquet(str(tmp_path / "embeddings.parquet"))
+    exact = [(k, [int(np.floor(x * 256)) if abs(x) < 1e15 else int(x) * 256 for x in v]) for k, v in rows]
+    want = []
+    for q, x in sorted({(k, tuple(v)) for k, v in exact if k % 50 == 0}):
+        found = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), k) for k, y in exact if k != q)[:5]
+        want += [(q, r + 1, k, -s if -(1 << 63) <= -s < 1 << 63 else None) for r, (s, k) in enumerate(found)]
+    order = lambda r: tuple(-1 << 70 if x is None else x for x in r)
+    assert sorted(map(tuple, op2_topk(spark, str(tmp_path)).collect()), key=order) == sorted(want, key=order)
+    # One file in which all rows of the query's id are better than the rest.
+    ids, m = np.array([0] * 3 + list(range(1, 8))), np.array([[90], [90], [90], [7], [6], [5], [4], [3], [2], [1]])
+    (got,) = vafile.search_file(np.array([0]), np.array([[1]]), ids, m, 5)
+    assert got[0].tolist() == [1, 2, 3, 4, 5]
+
+
 def test_top_k_query(spark, tmp_path):
     spark.createDataFrame([(k, [float(k % 7), float(k % 3)], 0) for k in range(120)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert op2_topk(spark, str(tmp_path)).count() == 15

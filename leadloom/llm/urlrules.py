@@ -10,7 +10,7 @@ more general one is at least as sure.  A URL that no fixed rule fits is judged b
 tokens it has, found through an inverted index from a rule's rarest token to the
 rule; without one it is allowed.
 
-Mining reads about ``train_rows`` labelled URLs, chosen by a hash of the URL.
+Mining reads every labelled URL, as often as it occurs.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and is
 allowed; equal rules go to the one whose tokens sort first; repeated rows are
@@ -35,7 +35,6 @@ RULES = [
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
-TRAIN_ROWS = 50_000
 SUPPORT = 0.005
 LEAST_ROWS = 20
 CONFIDENCE = 0.9
@@ -80,14 +79,12 @@ def tokens(host: Column, path: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, train_rows: int = TRAIN_ROWS, longest: int = 3) -> list[tuple[tuple[str, ...], str, float]]:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = 3) -> list[tuple[tuple[str, ...], str, float]]:
     """(tokens, verdict, confidence), surest and most general first, from rows with ``tokens`` and ``verdict``."""
     total = labelled.count()
     if not total:
         return []
-    bar = int(min(1.0, train_rows / total) * (1 << 32))
-    rows = labelled.where(F.pmod(F.xxhash64("tokens"), F.lit(1 << 32)) < bar)
-    baskets = rows.select(F.array_append("tokens", F.concat(F.lit("="), "verdict")).alias("items"))
+    baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("="), "verdict")).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST_ROWS / total)), minConfidence=confidence).fit(baskets).associationRules
     chosen = found.where(F.col("consequent")[0].startswith("=") & (F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda x: x.startswith("=")))
     rules = sorted(((tuple(sorted(r["antecedent"])), r["consequent"][0][1:], r["confidence"]) for r in chosen.select("antecedent", "consequent", "confidence").collect()), key=lambda r: (len(r[0]), -r[2], r))
@@ -114,7 +111,7 @@ def judged(urls: DataFrame, rules: list[tuple[tuple[str, ...], str, float]], kee
     by_fixed = urls.select(*keep, "host", "path", F.col("fixed.rule").alias("rule"), F.col("fixed.verdict").alias("ruled"), "tokens")
     if not index:
         return by_fixed.select(*keep, "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("mined"))
-    # The index is a constant (its size is bounded by what train_rows and the support allow), parsed once a task.
+    # The index is a constant (its size is bounded by what the support allows), parsed once a task.
     literal = json.dumps({t: [{"place": k, "items": items, "verdict": v} for k, items, v in r] for t, r in index.items()})
     filed = F.from_json(F.lit(literal), "map<string, array<struct<place:int, items:array<string>, verdict:string>>>")
     hits = F.flatten(F.filter(F.transform("tokens", lambda t: F.try_element_at(filed, t)), lambda r: r.isNotNull()))

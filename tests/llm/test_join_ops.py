@@ -186,6 +186,13 @@ def test_url_rules(spark, tmp_path):
     assert [rows[k]["verdict"] for k in (7, 8, 9)] == ["allow"] * 3
 
 
+def test_url_rules_from_all_rows(spark):
+    """No token set is left out of the mining, however many rows there are."""
+    host = (F.col("id") % 12).cast("string")
+    rows = spark.range(120_000).select(F.array(F.concat(F.lit("h:"), host)).alias("tokens"), F.when(F.col("id") % 12 < 5, "block").otherwise("allow").alias("verdict"))
+    assert {(r[0], r[1]) for r in urlrules.mine(rows)} == {((f"h:{k}",), "block" if k < 5 else "allow") for k in range(12)}
+
+
 def test_url_rules_without_labels(spark):
     df = spark.createDataFrame([(1, "http://q.de/x")], "page_id long, url string")
     assert [tuple(r)[1:5] for r in urlrules.judge(df, ["page_id"]).collect()] == [("q.de", "/x", None, "allow")]

@@ -6,8 +6,7 @@ each profile by out-of-place distance: the sum over the text's n-grams of how
 far the ranks lie apart, ``profile_size`` for one that the profile lacks.  The
 nearest profile wins; equal distances go to the language that sorts first.
 
-Profiles are learned from about ``train_rows`` rows (chosen by a hash of the id,
-in proportion, so that the work is bounded); every text is predicted whole.
+Profiles are learned from all training rows; every text is predicted whole.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0, as is
 every text when nothing could be learned; empty tables give no rows; repeated
@@ -27,8 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-TRAIN_ROWS = 20_000
 PROFILE_SIZE = 400
+#: A task passes its sums on when it holds so many codes.
+_HELD = 2_000_000
 _SPACE = np.uint64(32)
 _LETTERS: list[np.ndarray] = []
 
@@ -64,26 +64,35 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return codes[np.lexsort((codes, -counts))][:size]
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS, size: int = PROFILE_SIZE) -> dict[str, list[int]]:
-    """language -> its n-gram codes in order. About ``train_rows`` rows of ``docs`` are read for it."""
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE_SIZE) -> dict[str, list[int]]:
+    """language -> its n-gram codes in order, counted over all rows of ``docs``."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = known.select(lang_col).count()
-    if not total:
-        return {}
-    share = F.pmod(F.xxhash64(id_col), F.lit(1 << 32)) < int(min(1.0, train_rows / total) * (1 << 32))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list] = defaultdict(list)
+        held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, parts in sums.items():
+                codes, counts = _added(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "code", "n"])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[lang].append(ngrams(text))
-                if len(sums[lang]) > 500:
-                    sums[lang] = [_added(sums[lang])]
-        for lang, parts in sums.items():
-            codes, counts = _added(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "code", "n"])
-
-    found = known.where(share).select(F.col(lang_col).cast("string"), text_col).mapInArrow(count, "lang string, code long, n long")
+                parts = sums[lang]
+                parts.append(ngrams(text))
+                held += len(parts[-1][0])
+                if len(parts) > 500:
+                    held -= sum(len(p[0]) for p in parts)
+                    sums[lang] = [_added(parts)]
+                    held += len(sums[lang][0][0])
+                if held > _HELD:
+                    yield from out()
+                    sums.clear()
+                    held = 0
+        yield from out()
+
+    found = known.select(F.col(lang_col).cast("string"), text_col).mapInArrow(count, "lang string, code long, n long")
     found = found.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # The best of 16 shares of the codes by language hold the best of all: the driver gets 16 * size rows a language at most.
     best = Window.partitionBy("lang", F.pmod(F.xxhash64("code"), F.lit(16))).orderBy(F.desc("n"), "code")

@@ -182,6 +182,15 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string")), ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_of_few_rows(spark, monkeypatch):
+    """A language's profile is that of all its rows, however many rows others have."""
+    monkeypatch.setattr(langid, "_HELD", 5_000)
+    rare = spark.createDataFrame([(10**6 + k, f"kivi {chr(97 + k)}omena{chr(97 + k)} pöytä", "fi") for k in range(20)], "doc_id long, text string, lang string")
+    common = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("the and with").alias("text"), F.lit("en").alias("lang"))
+    learned = langid.train(common.unionByName(rare))
+    assert learned["fi"] == langid.train(rare)["fi"] and learned["en"] == langid.train(common.limit(10))["en"]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(1)
     syllables = ["ta", "re", "mi", "lo", "na", "se"]

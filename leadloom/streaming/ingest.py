@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.extract import entities_of_card, extract_entities
+from ..functions.text import blank_to_null
 from ..functions.validate import final_leads, validate_leads
-from ..operators.dedup import _scored, keyed
+from ..operators.dedup import _scored, keyed, similarity
 from ..sources.responses import explode_ocr, explode_vision
 
 INBOX = "uploadId string, engine string, response string, createdAt timestamp"
@@ -44,13 +45,30 @@ def start(spark: SparkSession, folder: str, leads_path: str, checkpoint: str, on
 
 
 def duplicates_of_new(new: DataFrame, leads: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Pairs of new leads with any lead by filled keys: what a full scan would add, without comparing old with old."""
-    a, b = keyed(new).alias("n"), keyed(leads).alias("o")
-    parts = []
-    for key in ("ne", "np", "n6"):
-        met = a.join(b, (F.col(f"n.{key}") == F.col(f"o.{key}")) & (F.col(f"n.{key}") != "") & (F.col("n.id") != F.col("o.id")))
-        low = F.col("n.id") < F.col("o.id")
-        row = lambda x: F.struct(*(F.col(f"{x}.{c}") for c in ("id", "email", "city", "ne", "np", "nc")))
-        parts.append(_scored(met.select(F.when(low, row("n")).otherwise(row("o")).alias("a"), F.when(low, row("o")).otherwise(row("n")).alias("b"))))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Pairs of new leads with any lead, by filled keys and in blocks of blanks: what a full scan would add, without comparing old with old."""
+    mine, all_ = keyed(new), keyed(leads)
+    n, o = mine.alias("n"), all_.alias("o")
+    low, other = F.col("n.id") < F.col("o.id"), F.col("n.id") != F.col("o.id")
+    row = lambda x: F.struct(*(F.col(f"{x}.{c}") for c in ("id", "email", "city", "ne", "np", "nc")))
+    scored = lambda met: _scored(met.select(F.when(low, row("n")).otherwise(row("o")).alias("a"), F.when(low, row("o")).otherwise(row("n")).alias("b")))
+    parts = [scored(n.join(o, (F.col(f"n.{key}") == F.col(f"o.{key}")) & (F.col(f"n.{key}") != "") & other)) for key in ("ne", "np", "n6")]
+    # As in find_duplicates: blank e-mails where the lower id has one of white space.
+    spaces = (F.col("ne") == "") & (F.coalesce("email", F.lit("")) != "")
+    parts.append(scored(mine.where(spaces).alias("n").join(o, (F.col("n.ne") == F.col("o.ne")) & low)))
+    parts.append(scored(n.join(all_.where(spaces).alias("o"), (F.col("n.ne") == F.col("o.ne")) & (F.col("o.id") < F.col("n.id")))))
+    # And similar names with a city each: distinct new names against all distinct names of near length, then the rows of what is similar.
+    blank = ((F.col("ne") == "") | (F.col("np") == "") | (F.col("n6") == "")) & blank_to_null("city").isNotNull()
+    held = [k.where(blank).withColumn("lc", F.lower("city")) for k in (mine, all_)]
+    names = [k.select("nc", "lc", F.length("nc").alias("size")).distinct() for k in held]
+    near = F.sequence(F.floor(F.col("size") * 0.85).cast("int"), F.ceil(F.col("size") / 0.85).cast("int"))
+    company, city = similarity(F.col("n.nc"), F.col("o.nc")), similarity(F.col("n.lc"), F.col("o.lc"))
+    like = names[0].select("*", F.explode(near).alias("other")).alias("n").join(names[1].alias("o"), F.col("n.other") == F.col("o.size"))
+    like = like.where((company > 0.85) & (0.6 * company + 0.4 * city > threshold - 0.001))
+    like = like.select(F.col("n.nc").alias("x"), F.col("n.lc").alias("xc"), F.col("o.nc").alias("y"), F.col("o.lc").alias("yc"))
+    left = held[0].alias("n").join(like, (F.col("n.nc") == F.col("x")) & (F.col("n.lc") == F.col("xc")))
+    alone = (F.col("n.ne") == "") & (F.col("o.ne") == "") | (F.col("n.np") == "") & (F.col("o.np") == "") | (F.col("n.n6") == "") & (F.col("o.n6") == "")
+    parts.append(scored(left.join(held[1].alias("o"), (F.col("o.nc") == F.col("y")) & (F.col("o.lc") == F.col("yc")) & other & alone)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out.where(F.col("score") >= threshold).dropDuplicates(["leadAId", "leadBId"])

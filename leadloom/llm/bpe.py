@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import alone
+
 #: Words whose ids a worker remembers; older generations are dropped beyond that (speed only).
 CACHE_WORDS = 600_000
 #: Pair tests that a worker remembers (speed only).
@@ -182,16 +184,9 @@ class Bpe:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_LOADED: dict[int, Bpe] = {}
-
-
 def loaded(spec: str) -> Bpe:
     """The worker's encoder of ``spec``, made once."""
-    key = hash(spec)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Bpe(spec)
-    return _LOADED[key]
+    return alone(("bpe", hash(spec)), lambda: Bpe(spec))
 
 
 def _kept(df: DataFrame, keep: list[str], new: list[T.StructField]) -> T.StructType:

@@ -38,12 +38,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import forget, mixed, shingle_hashes, stored, word_hashes, workspace
+from .shared import alone, forget, mixed, shingle_hashes, slices, stored, word_hashes, workspace
 
 SHINGLE = 5
 THRESHOLD = Fraction(3, 4)
@@ -60,17 +59,6 @@ SCAN_COST = 48.0
 LONGEST = 63
 _SIZE, _PLACE = 32, 6
 _SIZE_MASK, _PLACE_MASK, _L_MASK = (1 << 27) - 1, (1 << 26) - 1, 63
-_SLICE = 1 << 20
-
-
-def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of texts of about a megabyte."""
-    sizes = np.cumsum(np.maximum(1, np.nan_to_num(np.array(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), float))))
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _SLICE, side="right")))
-        yield at, texts.slice(at, end - at)
-        at = end
 
 
 def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -102,7 +90,7 @@ def frequent(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np.
             return both[first][often], sums[often]
 
         for batch in batches:
-            for _, texts in _slices(batch.column(0)):
+            for _, texts in slices(batch.column(0)):
                 found = [s for s in _sets(texts, size) if len(s)]
                 held += found
                 rows += sum(map(len, found))
@@ -146,7 +134,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, threshold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for at, texts in _slices(batch.column(1)):
+            for at, texts in slices(batch.column(1)):
                 sizes, classes, asked, ranks, parts, ends = [], [], [], [], [], [0]
                 for s in _sets(texts, size):
                     c = _class(s) if len(s) else None
@@ -322,7 +310,7 @@ def _verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame, at: str, id_col:
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in _slices(batch.column(0)):
+            for _, part in slices(batch.column(0)):
                 found = [s for s in _sets(part, size) if len(s)]
                 if found:
                     ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)

@@ -16,7 +16,6 @@ rows are predicted alike; other columns are left out, whatever their names.
 from __future__ import annotations
 
 import sys
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,26 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import alone, letters
+
 UNKNOWN = "und"
 PROFILE_SIZE = 400
 #: A task passes its sums on when it holds so many codes.
 _HELD = 2_000_000
 _SPACE = np.uint64(32)
-_LETTERS: list[np.ndarray] = []
-
-
-def letters() -> np.ndarray:
-    """Whether each code point is a letter."""
-    if not _LETTERS:
-        _LETTERS.append(np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x32000)] + [False]))
-    return _LETTERS[0]
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of a text as 63-bit codes (21 bits a character) and their counts."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = letters()
-    good = table[np.minimum(points, len(table) - 1)]
+    good = letters()[points]
     if not good.any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keep = good.copy()
@@ -69,6 +61,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size:
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         sums: dict[str, list] = defaultdict(list)
         held = 0
 
@@ -131,6 +124,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], te
         return names[k], 1.0 - float(apart[k]) / (size * len(mine))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in batches:
             found = [one(x.as_py()) for x in batch.column(at)]
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,6 +47,41 @@ def forget(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_KEPT: dict[Any, Any] = {}
+
+
+def alone(key: Any = None, make: Callable[[], Any] | None = None) -> Any:
+    """What a Python worker keeps between tasks: one object, that of the step at hand. Another key, or none, lets go of it."""
+    if key not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+        if make is None:
+            return None
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about ``size`` bytes, each with the place of its first."""
+    ends = np.cumsum(np.maximum(1, np.nan_to_num(np.array(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), float))))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
+_LETTERS: list[np.ndarray] = []
+
+
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    if not _LETTERS:
+        _LETTERS.append(np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)]))
+    return _LETTERS[0]
+
+
 # Word hashing. White space is the space and the code points 9 to 13; odd multipliers of 64 bits.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, langid, linetemplates, packing, quality, toxicity
+from leadloom.llm import bpe, langid, linetemplates, packing, quality
 from leadloom.llm.entry import tokenizer
 from leadloom.llm.shared import shingle_hashes, word_hashes
 
@@ -191,26 +191,6 @@ def test_language_of_few_rows(spark, monkeypatch):
     assert learned["fi"] == langid.train(rare)["fi"] and learned["en"] == langid.train(common.limit(10))["en"]
 
 
-def test_toxicity(spark):
-    rng = np.random.default_rng(1)
-    syllables = ["ta", "re", "mi", "lo", "na", "se"]
-    text = lambda: [" ".join("".join(rng.choice(syllables, 3)) for _ in range(8)) for _ in range(4)]
-    docs, labels = [], []
-    for k in range(400):
-        parts, toxic = text(), k % 4 == 0
-        if toxic:
-            parts.insert(2, f"you grub{rng.choice(syllables)} scoundrel")
-        docs.append((k, " ".join(parts)))
-        labels.append((k, 1, int(toxic)))
-    docs += [(900, None), (901, ""), (902, "tare " * 20000)]
-    df, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, marks, ["doc_id"]).collect()}
-    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 == 0]
-    assert np.mean([(got[k] >= 0.5) == (k % 4 == 0) for k in held]) > 0.95
-    assert got[900] == got[901] == 0.0 and got[902] < 0.5 and all(0 <= s <= 1 for s in got.values())
-    assert {r["score"] for r in toxicity.score(df, marks.where("toxic = 0"), ["doc_id"]).collect()} == {0.0}
-
-
 def test_word_hashes():
     texts = ["A b\tC", None, "", " \n ", "a  b c", "xab", "\x0bq", "a b c d e f"]
     words, at = word_hashes(pa.array(texts))

@@ -6,6 +6,8 @@ the token ``t`` ending there for which ``last[prefix before t]`` and ``t`` are
 between them.  An automaton over the vocabulary (Aho-Corasick, which follows
 suffix links) lists the tokens that end at each position; the pair test picks
 the one that is valid; back-pointers from the word's end give the exact ids.
+Words are what the tokenizer file's normaliser and splitter make of a text; plain
+letters, which both leave as they are, do not go through them.
 
 Edge cases: a null text is encoded as the empty text (no ids, decoded ``""``);
 texts of any length are encoded whole; repeated rows stay repeated; extra
@@ -15,7 +17,7 @@ columns named in ``keep`` are passed through, others are left behind.
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 from array import array
 from collections.abc import Iterator
 from pathlib import Path
@@ -26,13 +28,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from .shared import alone
 
-#: Words whose ids a worker remembers; older generations are dropped beyond that (speed only).
-CACHE_WORDS = 600_000
+#: Bytes of words and ids that a worker remembers; an older generation is dropped beyond that (speed only).
+CACHE_BYTES = 96 << 20
 #: Pair tests that a worker remembers (speed only).
-FITS = 400_000
+FITS = 150_000
+#: Below this code point text in lower case is normal as it is, and a run of letters is one piece.
+_SIMPLE = "\u0250"
+_OTHERS = re.compile("[\u0250-\U0010ffff]")
 
 # Fixed values of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -48,19 +54,20 @@ def byte_alphabet() -> list[str]:
 class Words(dict):
     """word -> its ids as little-endian uint32 bytes; two generations bound its size."""
 
-    def __init__(self, make, most: int = CACHE_WORDS):
+    def __init__(self, make, most: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.old, self.size = make, most, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
             found = self.make(word)
-        if len(self) >= self.most // 2:
-            self.old = dict(self)
-            self.clear()
         if len(word) < 40:
+            if self.size > self.most // 2:
+                self.old, self.size = dict(self), 0
+                self.clear()
             self[word] = found
+            self.size += 200 + len(word) + len(found)  # with what Python needs for both and their entry
         return found
 
 
@@ -72,6 +79,7 @@ class Bpe:
     def __init__(self, spec: str):
         spec = json.loads(spec)
         model = spec["model"]
+        library = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         if model["type"] != "BPE" or not model.get("end_of_word_suffix"):
             raise ValueError("only BPE vocabularies with an end-of-word suffix are supported")
         self.suffix = model["end_of_word_suffix"]
@@ -95,8 +103,8 @@ class Bpe:
             self.automaton.add_word(plain, (k, len(plain), self.rank[k] < 0))
         self.automaton.make_automaton()
         self.alphabet = byte_alphabet()
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(split)
+        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.fits: dict[int, bool] = {}
         self.stops = {c: self._word(c) for c in ".,"}
@@ -122,7 +130,11 @@ class Bpe:
                 return True
 
     def _word(self, word: str) -> bytes:
-        text = word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()])
+        """A piece as the splitter gives it, before its bytes are replaced."""
+        return self._coded(word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()]))
+
+    def _coded(self, text: str) -> bytes:
+        """A piece in the alphabet of bytes."""
         n = len(text) + 1
         last = [-1] * (n + 1)  # the last token of each prefix, -1 where none is known
         start = [0] * (n + 1)
@@ -155,21 +167,26 @@ class Bpe:
         return array("I", ids).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        """A run without white space, cut into the pre-tokenizer's pieces."""
-        if chunk.isalpha():
-            return self._word(chunk)
-        head, tail = chunk[:-1], chunk[-1]
-        if tail in ".," and head.isalpha():
-            return self.chunks[head] + self.stops[tail]
-        return b"".join([self.chunks[w] if w.isalpha() else self._word(w) for w in self.pieces.findall(chunk)])
+        """A run without white space, cut into the splitter's pieces."""
+        low = chunk.lower()
+        if max(low) < _SIMPLE:
+            if low.isalpha():
+                return self._word(low)
+            head, tail = low[:-1], low[-1]
+            if tail in ".," and head.isalpha():
+                return self.chunks[head] + self.stops[tail]
+        if low.isascii():
+            return b"".join([self.chunks[w] if w.isalpha() else self._word(w) for w in self.pieces.findall(low)])
+        return self._any(chunk)
+
+    def _any(self, text: str) -> bytes:
+        """Any text: normalised and split as the tokenizer's file says."""
+        return b"".join([self._coded(piece) for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))])
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split() only
-            return self._chunk(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+            return self._any(text)
+        return b"".join(map(self.chunks.__getitem__, (text if _OTHERS.search(text) else text.lower()).split()))
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text, as little-endian uint32 bytes."""

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -51,8 +52,21 @@ def test_bpe_any_text(ours, theirs, text):
     assert ids(ours, text) == theirs.encode(text, add_special_tokens=False).ids
 
 
-def test_bpe_cache_generations(ours):
-    words = bpe.Words(lambda w: w.encode(), 4)
+def test_bpe_code_points(ours, theirs):
+    """Every seventh code point, assigned or not, between letters and after a full stop; and runs of combining marks in any order."""
+    for c in range(3, 0x32000, 7):
+        if not 0xD800 <= c < 0xE000:
+            text = f"a{chr(c)}B.X{chr(c)}. {chr(c)}"
+            assert ids(ours, text) == theirs.encode(text, add_special_tokens=False).ids, hex(c)
+    rng = np.random.default_rng(0)
+    marks = [chr(c) for c in range(0x300, 0x1E95B) if unicodedata.category(chr(c))[0] == "M"]
+    for _ in range(4000):
+        text = "".join(rng.choice(["e", "Å", " ", "ا", *rng.choice(marks, 6)], rng.integers(2, 9)))
+        assert ids(ours, text) == theirs.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_bpe_cache_generations():
+    words = bpe.Words(lambda w: w.encode(), 1000)
     assert [words[w] for w in "abcabcdeab"] == [w.encode() for w in "abcabcdeab"] and len(words) + len(words.old) <= 6
 
 

@@ -35,7 +35,7 @@ from .shared import alone
 #: Bytes of words and ids that a worker remembers; an older generation is dropped beyond that (speed only).
 CACHE_BYTES = 96 << 20
 #: Pair tests that a worker remembers (speed only).
-FITS = 150_000
+FITS = 200_000
 #: Below this code point text in lower case is normal as it is, and a run of letters is one piece.
 _SIMPLE = "\u0250"
 _OTHERS = re.compile("[\u0250-\U0010ffff]")
@@ -51,6 +51,17 @@ def byte_alphabet() -> list[str]:
     return [chr(others.get(b, b)) for b in range(256)]
 
 
+def _simple(text: str) -> bool:
+    """Whether all of a text lies below ``_SIMPLE``; the quick answers come first."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _OTHERS.search(text)
+    return True
+
+
 class Words(dict):
     """word -> its ids as little-endian uint32 bytes; two generations bound its size."""
 
@@ -169,7 +180,7 @@ class Bpe:
     def _chunk(self, chunk: str) -> bytes:
         """A run without white space, cut into the splitter's pieces."""
         low = chunk.lower()
-        if max(low) < _SIMPLE:
+        if not _OTHERS.search(low):
             if low.isalpha():
                 return self._word(low)
             head, tail = low[:-1], low[-1]
@@ -186,7 +197,7 @@ class Bpe:
     def _plain(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split() only
             return self._any(text)
-        return b"".join(map(self.chunks.__getitem__, (text if _OTHERS.search(text) else text.lower()).split()))
+        return b"".join(map(self.chunks.__getitem__, (text.lower() if _simple(text) else text).split()))
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text, as little-endian uint32 bytes."""

@@ -5,6 +5,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -124,23 +125,20 @@ def test_packing(spark, theirs):
 
 def plain_lines(docs):
     """Line dedup with loops."""
-    seen = defaultdict(list)
-    keys = {}
+    seen, keys = defaultdict(list), {}
+    lt = linetemplates
     for k, text in docs:
         for line in (text or "").split("\n") if text is not None and k is not None else []:
             t = ["<*>" if re.search("[0-9]", x) else x for x in re.split(r"[ \t\x0b\f\r]+", line.strip(" \t\x0b\f\r"))]
-            n, found = len(t), []
-            if n >= linetemplates.LEAST:
-                found.append((n, -1, tuple(t)))
-            if n >= linetemplates.GENERAL_TOKENS:
-                m = n - linetemplates.DEPTH
-                for s in range(linetemplates.SEGMENTS):
-                    a, b = (linetemplates.DEPTH + m * x // linetemplates.SEGMENTS for x in (s, s + 1))
-                    found.append((n, s, tuple(t[:a] + t[b:])))
+            n = len(t)
+            cuts = [lt.DEPTH + max(n - lt.DEPTH, 0) * s // lt.SEGMENTS for s in range(lt.SEGMENTS + 1)]
+            kinds = list(combinations(range(4), 2)) if n >= lt.LONG else [(), (0,), (1,), (2,), (3,)] if n >= lt.MIDDLE else [()]
+            found = [(n, kind, tuple(None if any(cuts[s] <= i < cuts[s + 1] for s in kind) else x for i, x in enumerate(t))) for kind in kinds] if line.strip(" \t\x0b\f\r") else []
             keys[line] = found
             for f in found:
                 seen[f].append(k)
-    first = {f: min(ks) for f, ks in seen.items() if len(set(ks)) > 1 and (f[1] < 0 or len(ks) >= linetemplates.GENERAL_FROM)}
+    least = lambda f: lt.SHORT_FROM if f[0] < lt.SHORT else lt.MIDDLE_FROM if f[0] < lt.LONG and f[1] else 2
+    first = {f: min(ks) for f, ks in seen.items() if len(set(ks)) > 1 and len(ks) >= least(f)}
     out = {}
     for k, text in docs:
         if text is None or k is None:
@@ -155,14 +153,29 @@ def test_lines(spark):
     swap = lambda w: long.replace("seven", w)
     docs = [
         (1, f"own line here\n{long}\nversion 3 of it\nhi"), (2, f"{swap('zzz')}\nversion 4  of\tit\nhi\nother text here"), (3, f"{swap('yyy')}\nhi"), (4, None), (5, ""), (6, "same same same\nsame same same"),
-        (7, "\n\n"), (8, f"{long}\n{long}"), (9, "x " * 5000 + "\nhi"), (None, long),
-    ]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_lines", F.lit(0)).repartition(3)
-    got = {r["doc_id"]: r["text"] for r in linetemplates.dedup(df, lines_col="a", dropped_col="b").collect()}
+        (7, "\n\n"), (8, f"{long}\n{long}"), (9, "x " * 5000 + "\nhi"), (None, long), (10, long.replace("gamma", "G").replace("twelve", "T")),
+        (11, "Posted by Alice in the News"), (12, "Posted by Bob in the News"), (13, "Posted by Cy in the News\nRead more"), (14, "Posted under Cy in the News"), (15, "Sent by Al at noon\nSent by Bo at noon"),
+    ] + [(100 + k, f"Read more\n \t\nown{k} text{'abcdefghijklmnopqrstuvwxy'[k]} stays{k}x") for k in range(25)] + [(200, "hi\nown"), (201, "own")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("n_lines", "__left", "drops", "id", "line", "a", "doc", "__n")}).repartition(3)
+    found = linetemplates.dedup(df)
+    assert sorted(found.columns) == sorted([*df.columns, "n_dropped"])
+    got = {r["doc_id"]: r["text"] for r in found.collect()}
     want = plain_lines(docs)
     assert got == want
-    assert got[8] == "" and got[None] == long and got[6] == docs[5][1] and "version" not in got[2] and "zzz" not in got[2]
-    assert linetemplates.dedup(df.limit(0), lines_col="a", dropped_col="b").count() == 0
+    assert got[8] == "" and got[None] == long and got[6] == docs[5][1] and "version" not in got[2] and "zzz" not in got[2] and got[10] == ""
+    assert got[11] == docs[11][1] and got[12] == "" and got[13] == "Read more" and got[14] == docs[14][1] and got[101].startswith(" \t\n")
+    assert linetemplates.dedup(df.limit(0), lines_col="x", dropped_col="y").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_lines_of_few_words(spark, seed):
+    """Random lines of few words, in which templates of all kinds recur."""
+    rng = np.random.default_rng(seed)
+    line = lambda: " ".join(rng.choice(list("ab1"), rng.choice([0, 1, 2, 4, 6, 7, 11, 12, 13])))
+    docs = [(int(k), "\n".join(line() for _ in range(rng.integers(0, 5)))) for k in rng.integers(0, 60, 80)]
+    docs = list(dict(docs).items())
+    got = {r["doc_id"]: r["text"] for r in linetemplates.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == plain_lines(docs)
 
 
 @settings(max_examples=200, deadline=None)

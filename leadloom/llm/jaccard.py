@@ -38,7 +38,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -51,6 +51,8 @@ FREQUENT = 200_000
 FREQUENT_FROM = 8
 #: Ids up to which the texts of candidates are found by a broadcast; beyond it by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of a posting list that one task pairs; a longer list is dealt out.
+LIST_ROWS = 4096
 #: Verifying a candidate costs as much as this many index rows.
 VERIFY_COST = 12.0
 #: Following one entry of a posting list costs as much as this many index rows.
@@ -67,9 +69,10 @@ def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(words[a:b], size)) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _class(shingles: np.ndarray) -> int:
-    of = np.array([shingles.sum(), mixed(shingles).sum(), len(shingles)], np.uint64)
-    return int(mixed((of * np.array([0x9E3779B97F4A7C15, 1, 1], np.uint64)).sum(keepdims=True))[0].view(np.int64))
+def _lanes(shingles: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set that have nothing in common."""
+    a, b = shingles.sum(), mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum()
+    return tuple(mixed(np.array([a + np.uint64(len(shingles)), b], np.uint64)).view(np.int64).tolist())
 
 
 def frequent(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,18 +131,22 @@ def prefix(shingles: np.ndarray, codes: np.ndarray, counts: np.ndarray, threshol
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: Fraction, codes: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """A row a document: its number of shingles, its class and, the first time that the task meets the class, the prefix."""
+    """A row a document: its number of shingles, the two hashes of its set and, the first time that the task meets the set, the prefix."""
     sent = docs.sparkSession.sparkContext.broadcast((codes, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        alone()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for at, texts in slices(batch.column(1)):
-                sizes, classes, asked, ranks, parts, ends = [], [], [], [], [], [0]
+                sizes, firsts, seconds, asked, ranks, parts, ends = [], [], [], [], [], [], [0]
                 for s in _sets(texts, size):
-                    c = _class(s) if len(s) else None
+                    if len(s) > _SIZE_MASK:
+                        raise ValueError(f"a text has {len(s)} different shingles; {_SIZE_MASK} are supported")
+                    c = _lanes(s) if len(s) else None
                     sizes.append(len(s))
-                    classes.append(c)
+                    firsts.append(c and c[0])
+                    seconds.append(c and c[1])
                     l, rank, first = 0, 0, s[:0]
                     if c is not None and c not in seen:
                         seen.add(c)
@@ -149,17 +156,36 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, threshold
                     parts.append(first)
                     ends.append(ends[-1] + len(first))
                 flat = np.concatenate(parts).view(np.int64)
-                cols = [batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(asked, pa.int64()), pa.array(ranks, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n", "class", "l", "rank", "prefix"])
+                cols = [batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(asked, pa.int64()), pa.array(ranks, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n", "x", "y", "l", "rank", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n long, class long, l long, rank long, prefix array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n long, x long, y long, l long, rank long, prefix array<long>")
+
+
+def _class(salt: int) -> Column:
+    return F.when(F.col("x").isNotNull(), F.xxhash64("x", "y", F.lit(salt)))
+
+
+def _salt(full: DataFrame) -> int:
+    """The first salt with which sets of different hashes have different classes."""
+    salt = 0
+    while True:
+        named = full.where(F.col("x").isNotNull()).select(_class(salt).alias("class"), "x", "y").groupBy("class")
+        mixed_up = named.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).where((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")))
+        if mixed_up.isEmpty():
+            return salt
+        salt += 1
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token several classes have, each with the first class of its run and the one before it."""
+    """Of rows sorted by token, those whose token several classes have, each with the first class of its run and the one before it. The partition's first and last runs may go on elsewhere and are given out as they are."""
     names = ["token", "class", "meta", "lead", "lead_meta", "prior", "prior_meta"]
-    tail, first, alone = None, None, True  # the last row so far, the first row of its run, and whether that has not been given out
+    tail, first, alone = None, None, False  # the last row so far, the first row of its run, and whether that has not been given out
+
+    def out(rows: np.ndarray, lead: np.ndarray, prior: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[0], rows[1], rows[2], lead[1], lead[2], prior[1], prior[2])], names=names)
+
     for batch in batches:
         rows = np.stack([batch.column(k).to_numpy() for k in range(3)])
         if not rows.shape[1]:
@@ -178,12 +204,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             lead[:, run == 0] = first[:, None]
         many = np.bincount(run) > 1
+        started = held and alone and not many[0]
+        if not held:
+            many[0] = True  # may have begun in the partition before
         give = many[run]
-        if held:
-            if not alone:
-                give[run == 0] = True
-                give[0] = False  # was given out with an earlier batch
-            started = alone and not many[0]
+        if held and not alone:
+            give[run == 0] = True
+            give[0] = False  # was given out with an earlier batch
         prior = np.concatenate([rows[:, :1], rows[:, :-1]], axis=1)
         prior = np.where(starts, rows, prior)
         last = run[-1]
@@ -191,7 +218,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone = (not many[last]) and (not held or last > 0 or started)
         tail = rows[:, -1]
         if give.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (rows[0], rows[1], rows[2], lead[1], lead[2], prior[1], prior[2])], names=names)
+            yield out(rows[:, give], lead[:, give], prior[:, give])
+    if alone:  # may go on in the next partition
+        yield out(tail[:, None], first[:, None], tail[:, None])
 
 
 def _similar_sizes(a: str, b: str, threshold: Fraction):
@@ -199,7 +228,7 @@ def _similar_sizes(a: str, b: str, threshold: Fraction):
 
 
 def _across(threshold: Fraction, block: int = 1 << 20):
-    """Of rows (token, component, class, meta) sorted by token: the pairs of classes across components, with how often they meet.
+    """Of rows (token, cell, side, component, class, meta) sorted by token and cell: the pairs of classes across components, with how often they meet. Rows of one cell with sides 1 and 2 meet those of the other side only.
 
     A meeting counts only where the pair could still be similar: a pair of n and m shingles shares at least
     ``a = ceil(t / (1 + t) * (n + m))``, so its first l common ones lie below ``n - a + l`` and ``m - a + l``.
@@ -207,11 +236,11 @@ def _across(threshold: Fraction, block: int = 1 << 20):
     up, down = threshold.numerator, threshold.numerator + threshold.denominator
 
     def kept(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
-        _, comp, cls, meta = rows
+        _, _, side, comp, cls, meta = rows
         n, place, l = (meta >> _SIZE) & _SIZE_MASK, (meta >> _PLACE) & _PLACE_MASK, meta & _L_MASK
         need = np.minimum(l[i], l[j])
         spare = need + (-(up * (n[i] + n[j])) // down)  # l - a
-        good = (comp[i] != comp[j]) & (place[i] < n[i] + spare) & (place[j] < n[j] + spare)
+        good = (comp[i] != comp[j]) & ((side[i] == 0) | (side[i] != side[j])) & (place[i] < n[i] + spare) & (place[j] < n[j] + spare)
         i, j, need = i[good], j[good], need[good]
         if len(i):
             low = cls[i] < cls[j]
@@ -219,7 +248,7 @@ def _across(threshold: Fraction, block: int = 1 << 20):
 
     def pairs(rows: np.ndarray) -> Iterator[tuple]:
         """All pairs of a posting list, by size: the partners of a row are those up to the greatest size that can be similar."""
-        meta = rows[3]
+        meta = rows[5]
         n = (meta >> _SIZE) & _SIZE_MASK
         order = np.argsort(n, kind="stable")
         rows, n = rows[:, order], n[order]
@@ -231,7 +260,7 @@ def _across(threshold: Fraction, block: int = 1 << 20):
             yield from kept(rows, i, j)
             return
         # Long lists: for two sizes, only rows that are placed low enough, and never two of the commonest component.
-        place, most = (rows[3] >> _PLACE) & _PLACE_MASK, int((rows[3] & _L_MASK).max())
+        place, most = (rows[5] >> _PLACE) & _PLACE_MASK, int((rows[5] & _L_MASK).max())
         sizes, first = np.unique(n, return_index=True)
         edges = np.append(first, len(n))
         for x, a in enumerate(sizes.tolist()):
@@ -244,11 +273,11 @@ def _across(threshold: Fraction, block: int = 1 << 20):
                 right = left if x == y else edges[y] + np.flatnonzero(place[edges[y] : edges[y + 1]] < b + spare)
                 if not len(left) or not len(right):
                     continue
-                names, times = np.unique(rows[1][np.concatenate([left, right])], return_counts=True)
+                names, times = np.unique(rows[3][np.concatenate([left, right])], return_counts=True)
                 if len(names) == 1:
                     continue
                 common = names[times.argmax()]
-                left_in, right_in = rows[1][left] == common, rows[1][right] == common
+                left_in, right_in = rows[3][left] == common, rows[3][right] == common
                 if x == y:
                     rare = left[~left_in]
                     jobs = [(rare, left[left_in], False), (rare, rare, True)]
@@ -272,13 +301,13 @@ def _across(threshold: Fraction, block: int = 1 << 20):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], need[first], times)], names=["a", "b", "need", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, rest = [], 0, np.zeros((4, 0), np.int64)
+        held, size, rest = [], 0, np.zeros((6, 0), np.int64)
 
         def lists() -> Iterator[np.ndarray]:
             nonlocal rest
             for batch in batches:
-                rows = np.concatenate([rest, np.stack([batch.column(k).to_numpy() for k in range(4)])], axis=1)
-                edges = np.concatenate([[0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1])
+                rows = np.concatenate([rest, np.stack([batch.column(k).to_numpy() for k in range(6)])], axis=1)
+                edges = np.concatenate([[0], np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1])
                 for k in range(len(edges) - 1):
                     yield rows[:, edges[k] : edges[k + 1]]
                 rest = rows[:, edges[-1] :]
@@ -297,26 +326,30 @@ def _across(threshold: Fraction, block: int = 1 << 20):
     return run
 
 
-def _verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame, at: str, id_col: str, text_col: str, size: int, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar, as links. The sets are made from one text of each class that is in a pair."""
+def _verify(docs: DataFrame, some_id: DataFrame, pairs: DataFrame, at: str, id_col: str, text_col: str, size: int, threshold: Fraction, salt: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar, as links. The sets are made from the text of one id of each class (``some_id``) that is in a pair."""
     spark = docs.sparkSession
     pairs = stored(pairs, f"{at}/pairs")
     known = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = stored(ids.where(F.col("class").isNotNull()).join(known, "class", "left_semi").groupBy("class").agg(F.min(id_col).alias(id_col)), f"{at}/wanted")
+    wanted = stored(some_id.join(known, "class", "left_semi"), f"{at}/wanted")
     some = wanted.select(id_col).distinct()
     if wanted.count() <= BROADCAST_IDS:
         some = F.broadcast(some)
     texts = docs.select(id_col, text_col).join(some, id_col, "left_semi").select(text_col)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in batches:
             for _, part in slices(batch.column(0)):
                 found = [s for s in _sets(part, size) if len(s)]
                 if found:
                     ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))], names=["class", "shingles"])
+                    lanes = np.array([_lanes(s) for s in found], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(lanes[:, 0]), pa.array(lanes[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))], names=["x", "y", "shingles"])
 
-    sets = stored(texts.mapInArrow(shingles, "class long, shingles array<long>"), f"{at}/sets")
+    # An id can have several texts and a set several ids: only what is in a pair, once.
+    sets = texts.mapInArrow(shingles, "x long, y long, shingles array<long>").select(_class(salt).alias("class"), "shingles")
+    sets = stored(sets.join(known, "class", "left_semi").dropDuplicates(["class"]), f"{at}/sets")
     first, second = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     joined = pairs.join(first, "a").join(second, "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
@@ -332,18 +365,22 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD,
     spark, at = docs.sparkSession, workspace(docs.sparkSession)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        return _verify(docs, ids, pairs, f"{at}/{name}", id_col, text_col, size, threshold)
+        return _verify(docs, some_id, pairs, f"{at}/{name}", id_col, text_col, size, threshold, salt)
 
     codes, counts = frequent(docs, text_col, size)
     full = stored(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size, threshold, codes, counts), f"{at}/full")
 
+    salt = _salt(full)
+    full = full.select("*", _class(salt).alias("class"))
+
     # The index: posting lists of the prefixes, of which only those with several classes stay.
     index = full.where(F.size("prefix") > 0).select("class", "n", "l", "rank", F.posexplode("prefix").alias("place", "token"))
     meta = F.shiftleft("rank", 59) + F.shiftleft("n", _SIZE) + F.shiftleft(F.col("place").cast("long"), _PLACE) + F.col("l")
     index = index.select("token", "class", meta.alias("meta"))
-    runs = index.repartition("token").sortWithinPartitions("token", "meta", "class").mapInArrow(_runs, "token long, class long, meta long, lead long, lead_meta long, prior long, prior_meta long")
+    runs = index.repartitionByRange("token", "meta", "class").sortWithinPartitions("token", "meta", "class").mapInArrow(_runs, "token long, class long, meta long, lead long, lead_meta long, prior long, prior_meta long")
     shared = stored(runs, f"{at}/shared")
     ids = stored(full.select(id_col, "n", "class"), f"{at}/ids")
+    some_id = stored(ids.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(id_col).alias(id_col)), f"{at}/some_id")
     forget(spark, f"{at}/full")
 
     # First each class with the best of those that lead its posting lists or come before it there.
@@ -358,9 +395,15 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD,
 
     # Then all pairs across what is not connected yet.
     placed = shared.select("token", "class", "meta").join(near, F.col("class") == F.col("node"), "left").select("token", F.coalesce("component", "class").alias("component"), "class", "meta")
-    several = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("token")
-    placed = stored(placed.join(several, "token", "left_semi"), f"{at}/placed")
-    pairs = placed.repartition("token").sortWithinPartitions("token").mapInArrow(_across(threshold), "a long, b long, need long, times long")
+    several = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).where(F.col("x") != F.col("y"))
+    placed = stored(placed.join(several.select("token", (F.floor(F.col("rows") / LIST_ROWS) + 1).alias("blocks")), "token"), f"{at}/placed")
+    # A long list is dealt out in blocks, and each pair of blocks is a cell of its own.
+    block = F.pmod(F.xxhash64("class", "token"), F.col("blocks"))
+    cells = placed.select("*", block.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when(low == high, 0).when(F.col("mine") == low, 1).otherwise(2).cast("long")
+    cells = cells.select("token", (low * F.col("blocks") + high).alias("cell"), side.alias("side"), "component", "class", "meta")
+    pairs = cells.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(_across(threshold), "a long, b long, need long, times long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("need").alias("need")).where(F.col("times") >= F.col("need"))
     more = verified(pairs.select("a", "b"), "second")
 

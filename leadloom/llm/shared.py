@@ -87,8 +87,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_BYTE, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_POWERS = np.cumprod(np.full(4096, _BYTE))
+_WORD, _PLACE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of one text that are hashed at once.
+_PIECE = 2 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -100,11 +101,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if n > len(_POWERS):
-        _POWERS = np.cumprod(np.full(1 << (n - 1).bit_length(), _BYTE))
-    return _POWERS
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _PLACE)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +118,24 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (runs without white space) of all texts in order, and, text by text, the place of its first word."""
     raw, offsets = text_bytes(texts)
+    if len(texts) > 1 or len(raw) <= _PIECE:
+        return _hashed(raw, offsets, lower)
+    parts, at = [], 0  # one long text, cut at white space
+    while at < len(raw):
+        end = min(at + _PIECE, len(raw))
+        while end < len(raw):
+            spaces = np.flatnonzero(_SPACE[raw[end : end + _PIECE]])
+            if len(spaces):
+                end += int(spaces[0])
+                break
+            end = min(end + _PIECE, len(raw))
+        parts.append(_hashed(raw[at:end], np.array([0, end - at]), lower)[0])
+        at = end
+    words = np.concatenate(parts)
+    return words, np.array([0, len(words)])
+
+
+def _hashed(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     if lower:
@@ -135,9 +150,10 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     owner = np.cumsum(inside & ~before)[inside] - 1
     at = np.flatnonzero(inside)
-    place = at - starts[owner]
-    longest = int(place.max()) + 1
-    values = (raw[at].astype(np.uint64) + np.uint64(1)) * _powers(longest)[place]
+    # A sum over a word's bytes, each mixed with its place, so that no algebra of places makes two words equal.
+    values = _BYTES[raw[at]] + (at - starts[owner]).astype(np.uint64) * _PLACE
+    values = (values ^ (values >> np.uint64(32))) * _WORD
+    values ^= values >> np.uint64(29)
     sums = np.add.reduceat(values, np.searchsorted(at, starts))
     return mixed(sums), np.searchsorted(starts, offsets)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.llm import jaccard, urlrules, vafile, warc
+from leadloom.llm import jaccard, shared, urlrules, vafile, warc
 from leadloom.llm.components import components
 from leadloom.llm.entry import op2_topk, op5_url_rules, op6_warc, op9_jaccard, queries
 from leadloom.llm.shared import workspace
@@ -64,6 +64,8 @@ def test_jaccard(spark, seed, monkeypatch):
         monkeypatch.setattr(jaccard, "FREQUENT_FROM", 2)
     if seed == 2:
         monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(jaccard, "LIST_ROWS", 3)
+        monkeypatch.setattr(shared, "_PIECE", 50)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("component_id", F.lit("clash")).repartition(6)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect() if r["doc_id"] is not None)
     assert got == plain_components(docs)
@@ -97,7 +99,8 @@ def test_prefix_filter_is_safe():
     assert cases > 500
 
 
-def test_long_lists_match_short(monkeypatch):
+@pytest.mark.parametrize("sides", [False, True])
+def test_long_lists_match_short(sides):
     """The way for long posting lists finds the pairs that comparing all finds."""
     import pyarrow as pa
 
@@ -105,14 +108,15 @@ def test_long_lists_match_short(monkeypatch):
     n = 300
     size, place, l, comp = rng.integers(20, 30, n), rng.integers(0, 9, n), rng.integers(1, 4, n), rng.choice([1, 1, 1, 2, 3], n)
     meta = (size << 32) | (place << 6) | l
-    batch = pa.RecordBatch.from_arrays([pa.array(np.full(n, 5)), pa.array(comp), pa.array(np.arange(n)), pa.array(meta)], names=["token", "component", "class", "meta"])
+    side = rng.integers(1, 3, n) if sides else np.zeros(n, np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n, 5), np.full(n, 2), side, comp, np.arange(n), meta)], names=["token", "cell", "side", "component", "class", "meta"])
     got = {(a, b) for out in jaccard._across(Fraction(3, 4), block=1000)(iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)}
     want = set()
     for a in range(n):
         for b in range(a + 1, n):
             need = min(l[a], l[b])
             spare = need - -(-3 * (size[a] + size[b]) // 7)
-            if comp[a] != comp[b] and place[a] < size[a] + spare and place[b] < size[b] + spare and 4 * min(size[a], size[b]) >= 3 * max(size[a], size[b]):
+            if comp[a] != comp[b] and (not sides or side[a] != side[b]) and place[a] < size[a] + spare and place[b] < size[b] + spare and 4 * min(size[a], size[b]) >= 3 * max(size[a], size[b]):
                 want.add((a, b))
     assert got == want and want
 

@@ -3,7 +3,6 @@
 import base64
 import hashlib
 import re
-from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
@@ -258,43 +257,3 @@ def test_names():
     assert sorted({int(k[2:].split("_")[0]) for k in queries()}) == list(range(1, 11))
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    rng = np.random.default_rng(5)
-    syllables = {"en": ["the", "and", "ing", "wor", "ld"], "de": ["sch", "ung", "ein", "ver", "ß"]}
-    docs, labels = [], []
-    for k in range(240):
-        lang = ["en", "de"][k % 2]
-        lines = [" ".join("".join(rng.choice(syllables[lang], 3)) for _ in range(9)) for _ in range(5)]
-        if k % 6 == 0:
-            lines[2] = f"{lines[2]} wretched grubling fool"
-            labels.append((k, 1, 1))
-        else:
-            labels.append((k, 1, 0))
-        if k % 10 == 3:
-            lines.append("share this page with all of your friends 2024")
-        docs.append([k, "\n".join(lines), lang, "s", 0])
-    docs[21][1] = docs[11][1]  # a copy
-    docs += [[900, "12 34", "en", "s", 5], [901, None, None, None, None], [None, "the world and the world ing", "en", "s", 1]]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    at, now, held = str(tmp_path), spark.read.parquet(str(tmp_path / "documents.parquet")), {}
-    for name, stage in corpus_pipeline.STAGES:
-        now = stage(spark, now, at)
-        now.write.parquet(f"{at}/{name}")
-        now = spark.read.parquet(f"{at}/{name}")
-        held[name] = {r["doc_id"]: r for r in now.collect()}
-        if name != "packing":
-            assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert 900 not in held["language"] and 901 not in held["language"] and len(held["language"]) == 241
-    toxic = {k for k in range(0, 240, 6)}
-    assert len(toxic & set(held["toxicity"])) <= 2 and len(set(held["language"]) - toxic - set(held["toxicity"])) <= 2
-    assert sum("share this page" in r["text"] for r in held["lines"].values()) <= 1
-    assert 21 not in held["lines"] or 21 not in held["near_duplicates"]
-    assert all(r["n_chars"] in (0, 1, len(r["text"])) for r in held["lines"].values())
-    assert set(held["near_duplicates"]) == set(held["packing"])
-    again = defaultdict(int)
-    for r in corpus_pipeline.run(spark, at).collect():
-        again[r["doc_id"]] += r["length"]
-    assert set(again) == set(held["packing"])

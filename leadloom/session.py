@@ -26,9 +26,17 @@ def session(master: str | None = None, app: str = "leadloom", **conf: str) -> Sp
     return builder.config(map=fixed | conf).getOrCreate()
 
 
+#: Rows that Python workers get at once, where nothing else is set: texts are long, and batches of Spark's default of 10,000
+#: rows take tens of megabytes on both sides.
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes this package importable in Python workers wherever it isn't already."""
+    """Makes this package importable in Python workers wherever it isn't already, and sends them small batches."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_leadloom_shipped", False):
         return spark
     if sc.master == "local" or sc.master.startswith("local["):

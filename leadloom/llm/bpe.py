@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 from .shared import alone
 
 #: Bytes of words and ids that a worker remembers; an older generation is dropped beyond that (speed only).
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
 #: Pair tests that a worker remembers (speed only).
 FITS = 200_000
 #: Below this code point text in lower case is normal as it is, and a run of letters is one piece.

@@ -62,7 +62,7 @@ def alone(key: Any = None, make: Callable[[], Any] | None = None) -> Any:
     return _KEPT[key]
 
 
-def slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, pa.Array]]:
     """Runs of texts of about ``size`` bytes, each with the place of its first."""
     ends = np.cumsum(np.maximum(1, np.nan_to_num(np.array(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), float))))
     at = 0

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import BOUND, NOT_WS, WS, any_word, cleaned, contains_any, digits, extracted, first_case, first_filled, trimmed
+from .text import BOUND, NOT_WS, WS, any_word, cleaned, contains_any, digits, extracted, first_case, first_filled, let, trimmed, where_likely
 from .values import ADDRESS_WORDS, COMPANY_WORDS, DEPARTMENTS, DESIGNATIONS, INDUSTRIES
 
 # Patterns of fields.
@@ -37,12 +37,12 @@ CONTACT = "struct<fullName:string,designation:string,department:string,email:str
 
 def emails(text: Column) -> Column:
     """All addresses in lower case, each once, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(EMAIL), 0), F.lower))
+    return F.array_distinct(F.transform(where_likely(text, "@", F.regexp_extract_all(text, F.lit(EMAIL), 0)), F.lower))
 
 
 def phones(text: Column) -> Column:
     """All numbers of at least eight digits, each once, in order; one whose digits another number has within its own goes (and so do two spellings of one)."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(PHONE), 0), trimmed)
+    found = F.transform(where_likely(text, "[0-9]", F.regexp_extract_all(text, F.lit(PHONE), 0)), trimmed)
     found = F.array_distinct(F.filter(found, lambda p: F.length(F.regexp_replace(p, "[^0-9+]", "")) >= 8))
     return F.filter(found, lambda p: ~F.exists(found, lambda o: (o != p) & digits(o).contains(digits(p))))
 
@@ -50,17 +50,18 @@ def phones(text: Column) -> Column:
 def urls(text: Column, emails: Column) -> Column:
     """All web addresses that are neither e-mails nor part of a mailbox name."""
     boxes = F.transform(emails, lambda e: F.substring_index(e, "@", 1))
-    found = F.filter(F.regexp_extract_all(text, F.lit(URL), 0), lambda u: ~u.contains("@"))
+    found = F.filter(where_likely(text, r"[A-Za-z0-9-]\.[A-Za-z0-9-]", F.regexp_extract_all(text, F.lit(URL), 0)), lambda u: ~u.contains("@"))
     bare = lambda u: F.regexp_replace(F.regexp_replace(u, "^https?://", ""), r"^www\.", "")
     return F.filter(found, lambda u: ~F.exists(boxes, lambda b: b.contains(bare(u))))
 
 
 def gstin(text: Column) -> Column:
-    return extracted(F.upper(text), GSTIN)
+    return F.when(text.rlike("[0-9]{4}"), extracted(F.upper(text), GSTIN))
 
 
 def social(text: Column, kind: str) -> Column:
-    return extracted(text, SOCIAL[kind], 1)
+    hint = "[0-9]{2}" if kind == "whatsapp" else "[/@]"
+    return F.when(text.rlike(hint), extracted(text, SOCIAL[kind], 1))
 
 
 def website(urls: Column, socials: Column) -> Column:
@@ -98,14 +99,13 @@ def department(line: Column) -> Column:
 
 def industry(text: Column) -> Column:
     """The first industry one of whose words occurs anywhere."""
-    low = F.lower(text)
-    return first_case((contains_any(low, words), F.lit(name)) for name, words in INDUSTRIES.items())
+    return let(F.lower(text), lambda low: first_case((contains_any(low, words), F.lit(name)) for name, words in INDUSTRIES.items()))
 
 
 def address(lines: Column) -> Column:
     """Lines with a postal code or an address word that are neither phone nor e-mail lines, joined; null if none."""
     phone_line = lambda x: (F.length(digits(x)) >= 8) & (F.length(F.regexp_replace(x, "[^A-Za-z]", "")) <= 3)
-    kept = F.filter(lines, lambda x: ~phone_line(x) & ~x.rlike(EMAIL_INSIDE) & (x.rlike(POSTAL) | x.rlike("(?i)" + any_word(ADDRESS_WORDS))))
+    kept = F.filter(lines, lambda x: (x.rlike(POSTAL) | x.rlike("(?i)" + any_word(ADDRESS_WORDS))) & ~phone_line(x) & ~x.rlike(EMAIL_INSIDE))
     return F.when(F.size(kept) > 0, F.array_join(kept, ", "))
 
 

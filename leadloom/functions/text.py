@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,7 +48,21 @@ def extracted(c: Column | str, pattern: str, group: int = 0) -> Column:
 
 def any_word(words: Iterable[str]) -> str:
     """A pattern for one of the words between word bounds."""
-    return f"{BOUND}(?:{'|'.join(re.escape(w) for w in words)}){BOUND}"
+    words = list(words)
+    inside = "|".join(re.escape(w) for w in words)
+    if all(re.fullmatch(r"\w(.*\w)?", w, re.ASCII) for w in words):  # the bounds of such words are simpler to test
+        return f"(?<![A-Za-z0-9_])(?:{inside})(?![A-Za-z0-9_])"
+    return f"{BOUND}(?:{inside}){BOUND}"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def where_likely(text: Column, hint: str, found: Column) -> Column:
+    """``found`` (an array) for texts that have the hint, which a pattern's matches all need; none for others."""
+    return F.when(text.rlike(hint), found).otherwise(F.array().cast("array<string>"))
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import NOT_WS, blank_to_null, digits, first_case, first_filled
+from .text import NOT_WS, blank_to_null, digits, first_case, first_filled, let
 from .values import CITY_HINTS, GENERIC_MAILBOXES, GST_STATES, STATE_HINTS, WEIGHTS
 
 GSTIN_WHOLE = r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][A-Z0-9]Z[A-Z0-9]$"
@@ -57,18 +57,23 @@ def resolve_geo(address: Column, city: Column, state: Column, country: Column, g
     """struct<city, state, country>: the first city word of the address fills what is missing, then the first state word; a GSTIN overrides the state; +91 means India."""
     hay = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (address, city, state))))
     hints = [(word, name, region, land) for region, land, words in CITY_HINTS for word, name in words.items()]
-    hit = first_case((hay.contains(w), F.struct(F.lit(n).alias("city"), F.lit(s).cast("string").alias("state"), F.lit(c).alias("country"))) for w, n, s, c in hints)
-    by_word = first_case((hay.contains(w), F.lit(s)) for w, s in STATE_HINTS.items())
-    by_code = gst_state(gstin)
-    with_city = first_filled(state, hit["state"])
-    found = F.coalesce(by_code, with_city, by_word)
-    land = F.coalesce(
-        first_filled(country, hit["country"]),
-        F.when(with_city.isNull() & by_word.isNotNull(), "India"),
-        F.when(by_code.isNotNull(), "India"),
-        F.when(phone.contains("+91"), "India"),
-    )
-    return F.struct(first_filled(city, hit["city"]).alias("city"), found.alias("state"), land.alias("country"))
+
+    def words(hay: Column) -> Column:
+        hit = first_case((hay.contains(w), F.struct(F.lit(n).alias("city"), F.lit(s).cast("string").alias("state"), F.lit(c).alias("country"))) for w, n, s, c in hints)
+        return F.struct(hit.alias("hit"), first_case((hay.contains(w), F.lit(s)) for w, s in STATE_HINTS.items()).alias("word"), gst_state(gstin).alias("code"))
+
+    def places(found: Column) -> Column:
+        hit, by_word, by_code = found["hit"], found["word"], found["code"]
+        with_city = first_filled(state, hit["state"])
+        land = F.coalesce(
+            first_filled(country, hit["country"]),
+            F.when(with_city.isNull() & by_word.isNotNull(), "India"),
+            F.when(by_code.isNotNull(), "India"),
+            F.when(phone.contains("+91"), "India"),
+        )
+        return F.struct(first_filled(city, hit["city"]).alias("city"), F.coalesce(by_code, with_city, by_word).alias("state"), land.alias("country"))
+
+    return let(let(hay, words), places)
 
 
 def overall(scores: dict[str, Column], company: Column, contacts: Column) -> Column:

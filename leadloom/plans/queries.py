@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import extract, validate
 from ..functions.text import first_filled
 from ..operators import analytics, cards, companies, dedup, export, leads
+from ..session import spread
 from ..sources import files, responses
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,7 +215,7 @@ def company_upsert(spark, at):
 
 
 def _texts(spark, at):
-    return table(spark, at, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, at, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 _SQL_EMAILS = """SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b'), lambda x: lower(x)) AS m FROM documents"""
@@ -258,7 +259,7 @@ def extract_lines(spark, at):
 
 @query("SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in extract.INDUSTRIES.items()) + " END AS industry FROM documents")
 def infer_industry(spark, at):
-    return table(spark, at, "documents").select("doc_id", extract.industry(F.col("text")).alias("industry"))
+    return spread(table(spark, at, "documents").select("doc_id", "text")).select("doc_id", extract.industry(F.col("text")).alias("industry"))
 
 
 @query()

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -47,3 +47,9 @@ def ship(spark: SparkSession) -> SparkSession:
             sc.addPyFile(shutil.make_archive(f"{at}/leadloom", "zip", ROOT, "leadloom"))
     sc._leadloom_shipped = True
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files make fewer tasks than that, for work that costs more than its data are large. Large tables have more files than there are cores and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -113,18 +113,20 @@ def search_wide(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vec
     return out
 
 
-def search_file(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query its k best (ids, scores) of one file."""
+def search_file(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, bits: int = BITS, known: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query its k best (ids, scores) of one file and of those ``known`` from files before, whose k-th score is what cells must reach."""
     cells, exact = Cells(vectors, bits), vectors.astype(np.int64)
+    known = known or [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
+    least = np.array([scores[-1] if len(scores) == k else -np.inf for _, scores in known])
     out = []
     for at in range(0, len(queries), 256):
         block = queries[at : at + 256]
         low, high = cells.bounds(block.astype(np.float64))
-        floor = _floor(low, ids, query_ids[at : at + 256], k)
+        floor = np.maximum(_floor(low, ids, query_ids[at : at + 256], k), least[at : at + 256])
         for i, query in enumerate(block.astype(np.int64)):
             near = np.flatnonzero((high[i] >= floor[i]) & (ids != query_ids[at + i]))
             near = near[np.argsort(-high[i, near], kind="stable")]
-            best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            best_ids, best = known[at + i]
             step = 4 * k
             for j in range(0, len(near), step):
                 if len(best) == k and high[i, near[j]] < best[-1]:
@@ -199,10 +201,7 @@ def _pass(vectors: DataFrame, table: pa.Table, number: int, k: int, bits: int, i
                 search_large(size, (small[0], small[1], small[2] / SCALE), ids[~fits], matrix[~fits])
                 ids, matrix = ids[fits], matrix[fits]
             if len(ids) and len(small[1]):
-                found = search_file(small[1], small[2], ids, (matrix * SCALE).astype(np.int64), k, bits)
-                if size in best:
-                    found = [_top(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), k) for a, b in zip(best[size], found, strict=True)]
-                best[size] = found
+                best[size] = search_file(small[1], small[2], ids, (matrix * SCALE).astype(np.int64), k, bits, best.get(size))
 
         for batch in batches:
             for size, _, ids, matrix in _grouped(batch.column(0), batch.column(1)):

@@ -116,6 +116,13 @@ def latest_status(uploads: DataFrame, take: int = 200) -> DataFrame:
     return group_counts(uploads.orderBy(F.desc("createdAt"), "id").limit(take), "status")
 
 
+def lead_gap(uploads: DataFrame, leads: DataFrame, take: int = 200) -> DataFrame:
+    """One row: how many of the latest uploads are ready for review, and how many leads there are at all."""
+    ready = uploads.orderBy(F.desc("createdAt"), "id").limit(take).agg(F.count_if(F.col("status") == "READY_FOR_REVIEW").alias("readyForReview"), F.lit(0).cast("long").alias("leadsCreated"))
+    made = leads.agg(F.lit(0).cast("long").alias("readyForReview"), F.count("*").alias("leadsCreated"))
+    return ready.unionByName(made).agg(*(F.sum(c).alias(c) for c in ("readyForReview", "leadsCreated")))
+
+
 def rate_windows(events: DataFrame, at: str, key: str, width: str = "15 minutes") -> DataFrame:
     """Requests a client and fixed window."""
     return events.groupBy(F.window(at, width).alias("w"), key).agg(F.count("*").alias("count")).select(F.col("w.start").alias("window_start"), key, "count")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
-from ..functions.values import EDITABLE
+from ..functions.values import EDITABLE, ROLES, UPLOAD_STATUSES
 
 PAGE, MOST = 50, 200
 
@@ -68,6 +68,35 @@ def with_contacts(leads: DataFrame, contacts: DataFrame) -> DataFrame:
     return leads.join(held, "id", "left")
 
 
+def with_company(leads: DataFrame, companies: DataFrame) -> DataFrame:
+    """``leads`` with their company as a struct, null where there is none."""
+    return leads.join(companies.select(F.col("id").alias("companyId"), F.struct(*companies.columns).alias("company")), "companyId", "left")
+
+
+def with_result(cards: DataFrame, results: DataFrame) -> DataFrame:
+    """``cards`` with what was read on them as a struct ``ocrResult`` (one a card at most), null where nothing was."""
+    return cards.join(results.select(F.col("cardId").alias("id"), F.struct(*results.columns).alias("ocrResult")), "id", "left")
+
+
+def with_card(leads: DataFrame, cards: DataFrame, results: DataFrame) -> DataFrame:
+    """``leads`` with their card as a struct, which holds its ``ocrResult``."""
+    full = with_result(cards, results)
+    return leads.join(full.select(F.col("id").alias("cardId"), F.struct(*full.columns).alias("card")), "cardId", "left")
+
+
+def with_cards(uploads: DataFrame, cards: DataFrame, results: DataFrame, leads: DataFrame) -> DataFrame:
+    """``uploads`` with their cards as an array by id, each with its ``ocrResult`` and its ``lead`` (one a card at most); empty without cards."""
+    full = with_result(cards, results).join(leads.select(F.col("cardId").alias("id"), F.struct(*leads.columns).alias("lead")), "id", "left")
+    held = full.groupBy(F.col("uploadId").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*full.columns))).alias("cards"))
+    joined = uploads.join(held, "id", "left")
+    return joined.withColumn("cards", F.coalesce("cards", F.array().cast(joined.schema["cards"].dataType)))
+
+
+def trash_list(leads: DataFrame, cards: DataFrame, uploads: DataFrame, user_id, role: str) -> DataFrame:
+    """The leads in the trash that a user may see, the latest first, as many as a list holds at most."""
+    return page(visible(leads, cards, uploads, user_id, role).where(F.col("deletedAt").isNotNull()), [F.desc("deletedAt"), F.col("id")], take=MOST)
+
+
 def set_where(df: DataFrame, test: Column, **values: Column) -> DataFrame:
     """``df`` with new values in the rows that meet the test."""
     return df.withColumns({k: F.when(test, v).otherwise(F.col(k)) for k, v in values.items()})
@@ -95,6 +124,29 @@ def edit(leads: DataFrame, lead_id, changes: dict) -> DataFrame:
     return leads.withColumns({k: F.when(here, F.lit(v)).otherwise(F.col(k)) for k, v in changes.items() if k in EDITABLE})
 
 
+def set_upload(uploads: DataFrame, ids: list, status: str, error: str | None = None) -> DataFrame:
+    """Uploads in another state; the error of a former state goes."""
+    if status not in UPLOAD_STATUSES:
+        raise ValueError(f"Unknown status of an upload: {status}")
+    return set_where(uploads, F.col("id").isin(ids), status=F.lit(status), error=F.lit(error).cast("string"))
+
+
+def recover_stuck(uploads: DataFrame) -> DataFrame:
+    """Uploads that a stopped worker left half done wait again, without an error."""
+    return set_where(uploads, F.col("status").isin("DETECTING", "EXTRACTING"), error=F.lit(None).cast("string"), status=F.lit("PENDING"))
+
+
+def edit_user(users: DataFrame, user_id, by_id, role: str | None = None, is_active: bool | None = None) -> DataFrame:
+    """A user's role and whether they are active, where given. Nobody takes their own administrator's rights away."""
+    role = role if role in ROLES else None
+    if role is None and is_active is None:
+        raise ValueError("Nothing to update (isActive or role)")
+    if user_id == by_id and (is_active is False or role not in (None, "ADMIN")):
+        raise ValueError("You cannot deactivate or demote your own admin account")
+    given = {"role": role, "isActive": is_active}
+    return set_where(users, F.col("id") == user_id, **{k: F.lit(v) for k, v in given.items() if v is not None})
+
+
 def replace_children(children: DataFrame, key: str, parent_id, new: DataFrame) -> DataFrame:
     """All children of one parent replaced."""
     return children.where(~F.col(key).eqNullSafe(F.lit(parent_id))).unionByName(new)

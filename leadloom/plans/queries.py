@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, validate
 from ..functions.text import first_filled
+from ..functions.values import COMPANY_WORDS, DESIGNATIONS
 from ..operators import analytics, cards, companies, dedup, export, leads
 from ..session import spread
 from ..sources import files, responses
@@ -173,7 +174,7 @@ def _card_leads(spark, at):
     """Conversations as leads with contacts: a turn is a contact, the first of every other conversation is primary."""
     turns = table(spark, at, "conversations")
     primary = (F.col("turn") == 0) & (F.col("conv_id") % 2 == 0)
-    contact = F.struct("turn", F.col("role").alias("fullName"), F.lit(None).cast("string").alias("designation"), F.lit(None).cast("string").alias("department"), F.substring("text", 1, 8).alias("email"), F.nullif("role", F.lit("user")).alias("mobile"), F.lit(None).cast("string").alias("phone"), primary.alias("isPrimary"))
+    contact = F.struct("turn", F.col("role").alias("fullName"), F.lit(None).cast("string").alias("designation"), F.lit(None).cast("string").alias("department"), F.col("text").alias("email"), F.nullif("role", F.lit("user")).alias("mobile"), F.lit(None).cast("string").alias("phone"), primary.alias("isPrimary"))
     held = turns.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(contact)).alias("contacts"))
     docs = table(spark, at, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("city"), F.col("source").alias("companyName"), F.lit("").alias("website"))
     rest = ("email", "phonePrimary", "industry", "state", "gstin", "address", "country", "postalCode", "linkedin")
@@ -181,7 +182,7 @@ def _card_leads(spark, at):
     return blank.withColumn("company", F.struct(F.lit("Co").alias("name"), F.lit("co.example").alias("website"), F.lit("Tools").alias("industry"), F.lit("X").alias("city"), F.lit("Y").alias("state"), F.lit("").alias("gstin"), F.lit("India").alias("country"), F.lit("1").alias("postalCode")))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role, substring(text, 1, 8) AS email, nullif(role, 'user') AS mobile, turn = 0 AND conv_id % 2 = 0 AS prim FROM conversations),
+@query("""WITH t AS (SELECT conv_id, turn, role, text AS email, nullif(role, 'user') AS mobile, turn = 0 AND conv_id % 2 = 0 AS prim FROM conversations),
 p AS (SELECT conv_id, arg_min(struct_pack(role := role, email := email, mobile := mobile), (CASE WHEN prim THEN 0 ELSE 1 END, turn)) AS c FROM t GROUP BY 1),
 l AS (SELECT conv_id, c, source, lang FROM p JOIN documents ON doc_id = conv_id),
 x AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, email) AS pos, role, email, mobile FROM t WHERE NOT prim)
@@ -516,3 +517,143 @@ def lead_confidence(spark, at):
     phone = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("+91 98765 4"), F.col("page_id"))).otherwise(F.col("page_id").cast("string"))
     rows = table(spark, at, "pages").select("page_id", email.alias("email"), phone.alias("phonePrimary"), *(none.alias(c) for c in ("phoneSecondary", "website", "gstin", "linkedin", "postalCode", "address", "city", "state", "country")), F.lit("A").alias("companyName"), F.lit(None).cast(f"array<{extract.CONTACT}>").alias("contacts"))
     return validate.validate_leads(rows).select("page_id", F.col("overallConfidence").alias("confidence"))
+
+
+def _companies(spark, at):
+    return table(spark, at, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("city"))
+
+
+def _cards(spark, at):
+    return table(spark, at, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("uploadId"), F.col("o_orderpriority").alias("side"))
+
+
+def _results(spark, at):
+    return table(spark, at, "orders").where(F.col("o_orderstatus") != "O").select(F.col("o_orderkey").alias("cardId"), F.concat(F.lit("card "), "o_orderkey").alias("rawText"))
+
+
+def _leads(spark, at):
+    trashed = F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderdate"))
+    return table(spark, at, "orders").where(F.col("o_orderkey") % 4 != 0).select((F.col("o_orderkey") * 10).alias("id"), F.col("o_orderkey").alias("cardId"), F.when(F.col("o_orderkey") % 4 == 1, F.col("o_orderkey") % 17).alias("companyId"), trashed.alias("deletedAt"))
+
+
+@query("""SELECT o_orderkey * 10 AS id, s_name AS company, s_nationkey AS city FROM orders LEFT JOIN supplier ON s_suppkey = o_orderkey % 17 AND o_orderkey % 4 = 1 WHERE o_orderkey % 4 <> 0""")
+def lead_with_company(spark, at):
+    return leads.with_company(_leads(spark, at), _companies(spark, at)).select("id", F.col("company.name").alias("company"), F.col("company.city").alias("city"))
+
+
+@query("""SELECT o_orderkey * 10 AS id, o_custkey AS upload, o_orderpriority AS side, CASE WHEN o_orderstatus <> 'O' THEN 'card ' || o_orderkey END AS "rawText" FROM orders WHERE o_orderkey % 4 <> 0""")
+def lead_with_card(spark, at):
+    found = leads.with_card(_leads(spark, at), _cards(spark, at), _results(spark, at))
+    return found.select("id", F.col("card.uploadId").alias("upload"), F.col("card.side").alias("side"), F.col("card.ocrResult.rawText").alias("rawText"))
+
+
+@query("""SELECT c_custkey AS id, count(o_orderkey) AS cards, coalesce(string_agg(o_orderkey || o_orderpriority || CASE WHEN o_orderstatus <> 'O' THEN 'card ' || o_orderkey ELSE '-' END || CASE WHEN o_orderkey % 4 <> 0 THEN 'lead' ELSE '' END, ';' ORDER BY o_orderkey), '') AS shown
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def upload_with_cards(spark, at):
+    found = leads.with_cards(users(spark, at).select("id"), _cards(spark, at), _results(spark, at), _leads(spark, at))
+    shown = F.transform("cards", lambda c: F.concat(c["id"].cast("string"), c["side"], F.coalesce(c["ocrResult"]["rawText"], F.lit("-")), F.when(c["lead"].isNotNull(), "lead").otherwise("")))
+    return found.select("id", F.size("cards").cast("long").alias("cards"), F.array_join(shown, ";").alias("shown"))
+
+
+@query("""SELECT o_orderkey * 10 AS id FROM orders WHERE o_orderkey % 4 <> 0 AND starts_with(o_orderpriority, '1') AND o_custkey % 5 = 2 ORDER BY o_orderdate DESC, 1 LIMIT 200""")
+def trash_list(spark, at):
+    mine = users(spark, at).select("id", (F.col("id") % 5).alias("uploadedById"))
+    return leads.trash_list(_leads(spark, at), _cards(spark, at), mine, 2, "REVIEWER").select("id")
+
+
+_STATES = "CASE o_orderstatus WHEN 'F' THEN 'READY_FOR_REVIEW' WHEN 'O' THEN 'EXTRACTING' ELSE 'FAILED' END"
+
+
+def _states(spark, at):
+    state = F.when(F.col("status") == "F", "READY_FOR_REVIEW").when(F.col("status") == "O", "EXTRACTING").otherwise("FAILED")
+    return uploads(spark, at).withColumns({"status": state, "error": F.col("source")})
+
+
+@query(f"""SELECT (SELECT count(*) FROM (SELECT {_STATES} AS s FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200) WHERE s = 'READY_FOR_REVIEW') AS "readyForReview", (SELECT count(*) FROM lineitem) AS "leadsCreated" """)
+def lead_gap(spark, at):
+    return analytics.lead_gap(_states(spark, at), lines(spark, at))
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN {_STATES} = 'EXTRACTING' THEN 'PENDING' ELSE {_STATES} END AS status, CASE WHEN {_STATES} <> 'EXTRACTING' THEN o_orderpriority END AS error FROM orders""")
+def recover_stuck(spark, at):
+    return leads.recover_stuck(_states(spark, at)).select("id", "status", "error")
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey IN (1, 2, 3, 7) THEN 'FAILED' ELSE {_STATES} END AS status, CASE WHEN o_orderkey IN (1, 2, 3, 7) THEN 'late' ELSE o_orderpriority END AS error FROM orders""")
+def upload_failed(spark, at):
+    return leads.set_upload(_states(spark, at), [1, 2, 3, 7], "FAILED", "late").select("id", "status", "error")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey = 5 THEN 'REVIEWER' ELSE c_mktsegment END AS role, c_custkey <> 5 AS "isActive" FROM customer""")
+def edit_user(spark, at):
+    people = table(spark, at, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("role"), F.lit(True).alias("isActive"))
+    return leads.edit_user(people, 5, 1, "REVIEWER", False)
+
+
+@query(f"""WITH o AS ({_SQL_KNOWN}), m AS (SELECT c_custkey AS gone, c_custkey - 2 AS keep FROM customer WHERE c_custkey % 10 = 3),
+c AS (SELECT o_custkey AS lead, lower(o_orderpriority) || '|' || regexp_replace(o_orderpriority, '[^0-9]', '', 'g') AS key, o_orderpriority AS email FROM orders)
+SELECT 'lead' AS kind, c_custkey AS a, keep AS b, CASE WHEN gone IS NULL THEN 'APPROVED' ELSE 'MERGED' END AS status FROM customer LEFT JOIN m ON gone = c_custkey
+UNION ALL SELECT 'contact', lead, NULL, email FROM c
+UNION ALL SELECT DISTINCT 'contact', keep, NULL::BIGINT, email FROM c JOIN m ON lead = gone WHERE NOT EXISTS (SELECT 1 FROM c k WHERE k.lead = m.keep AND k.key = c.key)
+UNION ALL SELECT 'pair', "leadAId", "leadBId", CASE WHEN "leadAId" IN (SELECT gone FROM m) OR "leadBId" IN (SELECT gone FROM m) THEN 'MERGED' ELSE status END FROM o""")
+def merge_all(spark, at):
+    c = table(spark, at, "customer")
+    rows = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("companyName"), F.lit("APPROVED").alias("status"), F.lit(None).cast("long").alias("mergedIntoId"), F.lit(None).cast("timestamp_ntz").alias("deletedAt"))
+    people = table(spark, at, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("leadId"), F.col("o_orderdate").alias("createdAt"), F.col("o_orderpriority").alias("email"), F.lit("").alias("mobile"), F.col("o_orderpriority").alias("phone"), F.lit(True).alias("isPrimary"))
+    done = dedup.merge(rows, people, _known(spark, at), _merges(spark, at), AS_OF)
+    parts = [
+        done["leads"].select(F.lit("lead").alias("kind"), F.col("id").alias("a"), F.col("mergedIntoId").alias("b"), "status"),
+        done["contacts"].select(F.lit("contact").alias("kind"), F.col("leadId").alias("a"), F.lit(None).cast("long").alias("b"), F.col("email").alias("status")),
+        done["duplicates"].select(F.lit("pair").alias("kind"), F.col("leadAId").alias("a"), F.col("leadBId").alias("b"), "status"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""WITH o AS ({_SQL_KNOWN}) SELECT "leadAId" AS id, CASE WHEN "leadAId" IN (1, 4, 10) THEN 'DISMISSED' ELSE status END AS status FROM o""")
+def dismiss_pairs(spark, at):
+    return dedup.dismiss(_known(spark, at).withColumn("id", F.col("leadAId")), [1, 4, 10]).select("id", "status")
+
+
+@query("""SELECT conv_id, turn, text FROM conversations WHERE conv_id IS DISTINCT FROM 3 UNION ALL SELECT 3, turn, text FROM conversations WHERE conv_id = 5""")
+def replace_contacts(spark, at):
+    turns = table(spark, at, "conversations").select("conv_id", "turn", "text")
+    return leads.replace_children(turns, "conv_id", 3, turns.where(F.col("conv_id") == 5).withColumn("conv_id", F.lit(3).cast(turns.schema["conv_id"].dataType)))
+
+
+_SQL_CODES = """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN '27ABCDE' || lpad(cast(page_id % 10000 AS VARCHAR), 4, '0') || 'F1Z5' ELSE 'x27ABCDE1234F1Z5' END AS gstin,
+  CASE WHEN page_id % 2 = 0 THEN url || 'linkedin.com/IN/x' ELSE url END AS linkedin, cast(page_id * 37 AS VARCHAR) AS postal FROM pages"""
+
+
+def _codes(spark, at):
+    k = F.col("page_id")
+    gstin = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit("27ABCDE"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("F1Z5"))).otherwise("x27ABCDE1234F1Z5")
+    return table(spark, at, "pages").select("page_id", gstin.alias("gstin"), F.when(k % 2 == 0, F.concat("url", F.lit("linkedin.com/IN/x"))).otherwise(F.col("url")).alias("linkedin"), (k * 37).cast("string").alias("postal"))
+
+
+@query(rf"""WITH f AS ({_SQL_CODES})
+SELECT page_id, CASE WHEN gstin = '' THEN 0.0 WHEN regexp_matches(gstin, '^[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][A-Z0-9]Z[A-Z0-9]$') THEN 0.98 ELSE 0.25 END::DOUBLE AS gstin_confidence,
+  gstin <> '' AND NOT starts_with(gstin, '27') AS gstin_reason, CASE WHEN linkedin = '' THEN 0.0 WHEN regexp_matches(linkedin, '(?i)linkedin\.com/(in|company)/|^in/') THEN 0.9 ELSE 0.5 END::DOUBLE AS linkedin_confidence,
+  CASE WHEN regexp_matches(postal, '^[0-9]{{5,6}}$') THEN 0.85 ELSE 0.4 END::DOUBLE AS postal_confidence FROM f""")
+def validate_codes(spark, at):
+    scored = _codes(spark, at).select("page_id", validate.score_gstin(F.col("gstin")).alias("g"), validate.score_linkedin(F.col("linkedin")).alias("l"), validate.score_postal(F.col("postal")).alias("p"))
+    return scored.select("page_id", F.col("g.confidence").alias("gstin_confidence"), F.col("g.reason").isNotNull().alias("gstin_reason"), F.col("l.confidence").alias("linkedin_confidence"), F.col("p.confidence").alias("postal_confidence"))
+
+
+@query(rf"""WITH f AS ({_SQL_CODES}), t AS (SELECT page_id, html || ' ' || lower(gstin) || chr(10) || gstin AS x FROM f JOIN pages USING (page_id))
+SELECT page_id, nullif(regexp_extract(upper(x), '\b[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][A-Z0-9]Z[A-Z0-9]\b'), '') AS gstin FROM t""")
+def extract_gstin(spark, at):
+    text = table(spark, at, "pages").select("page_id", "html").join(_codes(spark, at), "page_id").select("page_id", F.concat("html", F.lit(" "), F.lower("gstin"), F.lit("\n"), "gstin").alias("x"))
+    return text.select("page_id", extract.gstin(F.col("x")).alias("gstin"))
+
+
+_SQL_INSIDE = "|".join(w.replace(".", "[.]") for w in COMPANY_WORDS + DESIGNATIONS)
+
+
+@query(f"""WITH t AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Nicole ' || c_mktsegment WHEN 1 THEN upper(substring(c_mktsegment, 1, 1)) || lower(substring(c_mktsegment, 2)) || ' Rao' WHEN 2 THEN 'Sales Manager ' || c_name ELSE 'O''Neil A. ' || c_mktsegment END AS line FROM customer)
+SELECT id, regexp_matches(line, '^[A-Z][a-zA-Z.''-]*( [A-Z][a-zA-Z.''-]*){{1,3}}$') AND NOT regexp_matches(lower(line), '{_SQL_INSIDE}') AS is_name, CASE WHEN id % 4 = 2 THEN line END AS designation FROM t""")
+def name_lines(spark, at):
+    c = table(spark, at, "customer")
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    shown = F.concat(F.upper(F.substring(segment, 1, 1)), F.lower(F.expr("substring(c_mktsegment, 2)")), F.lit(" Rao"))
+    line = F.when(k % 4 == 0, F.concat(F.lit("Nicole "), segment)).when(k % 4 == 1, shown).when(k % 4 == 2, F.concat(F.lit("Sales Manager "), "c_name")).otherwise(F.concat(F.lit("O'Neil A. "), segment))
+    return c.select(k.alias("id"), line.alias("line")).select("id", extract.is_name(F.col("line")).alias("is_name"), extract.designation(F.col("line")).alias("designation"))

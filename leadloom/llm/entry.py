@@ -100,7 +100,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
 
 
-OPS = [op1_bpe, op2_topk, op3_lines, op4_quality, op5_url_rules, op6_warc, op7_language, op8_toxicity, op9_jaccard, op10_packing]
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+OPS = [op1_bpe, op2_topk, op3_lines, op4_quality, op5_url_rules, op6_warc, op7_language, op8_toxicity, op9_jaccard, op10_packing, op11_divergence]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -159,6 +165,7 @@ FROM documents AS d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
+    from .divergence import ORACLE as DIVERGENCE_SQL
     from .linetemplates import ORACLE
 
-    return {"op2_topk": TOPK_SQL, "op3_lines": ORACLE, "op6_warc": WARC_SQL, "op9_jaccard": JACCARD_SQL}
+    return {"op11_divergence": DIVERGENCE_SQL, "op2_topk": TOPK_SQL, "op3_lines": ORACLE, "op6_warc": WARC_SQL, "op9_jaccard": JACCARD_SQL}

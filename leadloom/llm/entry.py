@@ -106,7 +106,25 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
-OPS = [op1_bpe, op2_topk, op3_lines, op4_quality, op5_url_rules, op6_warc, op7_language, op8_toxicity, op9_jaccard, op10_packing, op11_divergence]
+def op12_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .discriminant import PREDICT_FROM, score
+    from .langid import fold
+
+    found = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import forget, stored, workspace
+    from .signatures import index, search
+
+    docs, at = table(spark, sf_dir, "documents"), workspace(spark)
+    found = search(docs, stored(index(docs), f"{at}/index"), table(spark, sf_dir, "benchmark"), at=at)
+    forget(spark, f"{at}/index")
+    return found
+
+
+OPS = [op1_bpe, op2_topk, op3_lines, op4_quality, op5_url_rules, op6_warc, op7_language, op8_toxicity, op9_jaccard, op10_packing, op11_divergence, op12_classifier, op13_search]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -167,5 +185,6 @@ FROM documents AS d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id
 def oracle_sql() -> dict[str, str]:
     from .divergence import ORACLE as DIVERGENCE_SQL
     from .linetemplates import ORACLE
+    from .signatures import ORACLE as SEARCH_SQL
 
-    return {"op11_divergence": DIVERGENCE_SQL, "op2_topk": TOPK_SQL, "op3_lines": ORACLE, "op6_warc": WARC_SQL, "op9_jaccard": JACCARD_SQL}
+    return {"op13_search": SEARCH_SQL, "op11_divergence": DIVERGENCE_SQL, "op2_topk": TOPK_SQL, "op3_lines": ORACLE, "op6_warc": WARC_SQL, "op9_jaccard": JACCARD_SQL}

@@ -47,6 +47,8 @@ POOLED, ROUND = (0.0, 0.1, 0.3, 0.6, 0.9), (0.01, 0.05, 0.1, 0.3)
 BROADCAST_IDS = 1_000_000
 #: Shares are taken as logarithms from here on.
 _FLOOR = 0.02
+#: A figure that varies less than this says nothing; what is left is rounding.
+_CONSTANT = 1e-9
 _Moments = tuple[float, np.ndarray, np.ndarray]
 
 
@@ -101,7 +103,8 @@ class Discriminant:
     def __init__(self, moments: dict[int, _Moments], pooled: float, round_: float):
         n, total, products = _added(moments[0], moments[1])
         self.middle = total / n
-        self.spread = np.sqrt(np.maximum(np.diag(products) / n - self.middle**2, 1e-12))
+        variance = np.diag(products) / n - self.middle**2
+        self.spread = np.sqrt(np.where(variance > _CONSTANT, variance, 1.0))
         means, covariances, shares = [], [], []
         for k in (0, 1):
             m, s, p = moments[k]

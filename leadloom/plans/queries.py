@@ -609,6 +609,41 @@ def merge_all(spark, at):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+#: Of ten leads in a row: which goes into which, a chain and several into one.
+_FOREST = {1: 0, 2: 1, 3: 2, 5: 0, 7: 5, 9: 0}
+
+
+@query(f"""WITH l AS (SELECT c_custkey AS id, (c_custkey - 1) // 10 AS block, (c_custkey - 1) % 10 AS p, CASE WHEN c_custkey % 3 <> 0 THEN '' ELSE c_name END AS "companyName", CASE WHEN c_custkey % 4 <> 0 THEN NULL ELSE c_mktsegment END AS city FROM customer),
+g AS (SELECT *, list_position([9, 5, 7, 1, 2, 3], p) AS place FROM l WHERE p IN (1, 2, 3, 5, 7, 9)),
+f AS (SELECT block, arg_min("companyName", place) FILTER ("companyName" <> '') AS name, arg_min(city, place) FILTER (city IS NOT NULL) AS city FROM g GROUP BY block),
+c AS (SELECT o_orderkey AS id, o_custkey AS lead, o_orderdate AS at, lower(o_orderpriority) || '|' || regexp_replace(o_orderpriority, '[^0-9]', '', 'g') AS key, o_orderpriority AS email FROM orders),
+o AS ({_SQL_KNOWN})
+SELECT 'lead' AS kind, l.id AS a, CASE p WHEN 1 THEN l.id - 1 WHEN 2 THEN l.id - 1 WHEN 3 THEN l.id - 1 WHEN 5 THEN l.id - 5 WHEN 7 THEN l.id - 2 WHEN 9 THEN l.id - 9 END AS b,
+  coalesce(nullif(l."companyName", ''), CASE WHEN p = 0 THEN f.name END, l."companyName") AS text, coalesce(l.city, CASE WHEN p = 0 THEN f.city END) AS more, CASE WHEN p IN (1, 2, 3, 5, 7, 9) THEN 'MERGED' ELSE 'APPROVED' END AS status FROM l LEFT JOIN f USING (block)
+UNION ALL SELECT 'contact', lead, id, email, NULL, NULL FROM c
+UNION ALL SELECT 'added', g.block * 10 + 1, arg_min(c.id, (place, c.at, c.id)), c.email, NULL, NULL FROM c JOIN g ON g.id = c.lead WHERE NOT EXISTS (SELECT 1 FROM c k WHERE k.lead = g.block * 10 + 1 AND k.key = c.key) GROUP BY g.block, c.key, c.email
+UNION ALL SELECT 'pair', "leadAId", "leadBId", NULL, NULL, CASE WHEN "leadAId" IN (SELECT id FROM g) OR "leadBId" IN (SELECT id FROM g) THEN 'MERGED' ELSE status END FROM o""")
+def merge_groups(spark, at):
+    """Chains of merges and several leads into one: leads, contacts and pairs after them, and which contacts were added from which."""
+    c = table(spark, at, "customer")
+    rows = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 != 0, "").otherwise(F.col("c_name")).alias("companyName"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).alias("city"), F.lit("APPROVED").alias("status"), F.lit(None).cast("long").alias("mergedIntoId"), F.lit(None).cast("timestamp_ntz").alias("deletedAt"))
+    place = (F.col("c_custkey") - 1) % 10
+    into = F.coalesce(*(F.when(place == gone, F.col("c_custkey") - gone + keep) for gone, keep in _FOREST.items()))
+    # The later of two siblings was merged first.
+    merges = c.select(F.col("c_custkey").alias("goneId"), into.alias("keepId"), F.timestamp_seconds(10 - place).cast("timestamp_ntz").alias("mergedAt")).where(F.col("keepId").isNotNull())
+    people = table(spark, at, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("leadId"), F.col("o_orderdate").alias("createdAt"), F.col("o_orderpriority").alias("email"), F.lit("").alias("mobile"), F.col("o_orderpriority").alias("phone"), F.lit(True).alias("isPrimary"))
+    done = dedup.merge(rows, people, _known(spark, at), merges, AS_OF)
+    none = F.lit(None).cast("string")
+    added = dedup.merge_contacts(people, merges, dedup.merge_roots(rows, merges))
+    parts = [
+        done["leads"].select(F.lit("lead").alias("kind"), F.col("id").alias("a"), F.col("mergedIntoId").alias("b"), F.col("companyName").alias("text"), F.col("city").alias("more"), "status"),
+        done["contacts"].where("isPrimary").select(F.lit("contact").alias("kind"), F.col("leadId").alias("a"), F.col("id").alias("b"), F.col("email").alias("text"), none.alias("more"), none.alias("status")),
+        added.select(F.lit("added").alias("kind"), F.col("leadId").alias("a"), F.col("id").alias("b"), F.col("email").alias("text"), none.alias("more"), none.alias("status")),
+        done["duplicates"].select(F.lit("pair").alias("kind"), F.col("leadAId").alias("a"), F.col("leadBId").alias("b"), none.alias("text"), none.alias("more"), "status"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query(f"""WITH o AS ({_SQL_KNOWN}) SELECT "leadAId" AS id, CASE WHEN "leadAId" IN (1, 4, 10) THEN 'DISMISSED' ELSE status END AS status FROM o""")
 def dismiss_pairs(spark, at):
     return dedup.dismiss(_known(spark, at).withColumn("id", F.col("leadAId")), [1, 4, 10]).select("id", "status")

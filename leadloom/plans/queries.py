@@ -327,6 +327,22 @@ def dup_scores(spark, at):
     return dedup.find_duplicates(_parts(spark, at)).select("leadAId", "leadBId", "score")
 
 
+@query(f"""WITH k AS ({_SQL_SUPPLIERS}), m AS (SELECT 'phone' AS kind, np AS class, id FROM k UNION ALL SELECT 'profile', nc || '|' || lower(city), id FROM k)
+SELECT kind, id AS "leadId", min(id) OVER w AS representative, count(*) OVER w AS size FROM m WINDOW w AS (PARTITION BY kind, class) QUALIFY size > 1 OR kind = 'profile' AND EXISTS (SELECT 1 FROM k a JOIN k b ON a.id <> b.id AND a.nc || lower(a.city) <> b.nc || lower(b.city)
+  WHERE a.id = m.id AND 1 - levenshtein(a.nc, b.nc)::DOUBLE / greatest(length(a.nc), length(b.nc)) > 0.85 AND 0.6 * (1 - levenshtein(a.nc, b.nc)::DOUBLE / greatest(length(a.nc), length(b.nc))) + 0.4 * (1 - levenshtein(a.city, b.city)::DOUBLE / greatest(length(a.city), length(b.city))) > 0.7)""")
+def dup_classes(spark, at):
+    """Leads by shared phone or profile, a row a lead and class."""
+    return dedup.duplicate_classes(_suppliers(spark, at))[0].select("kind", "leadId", "representative", "size")
+
+
+@query(r"""WITH k AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(p_name), '\b(pvt|private|ltd|limited|llp|llc|inc|corp|co|company)\b\.?', '', 'g'), '[^a-z0-9]', '', 'g') AS nc, lower(p_type) AS c FROM part),
+s AS (SELECT x.nc AS xn, x.c AS xc, y.nc AS yn, y.c AS yc, 1 - levenshtein(x.nc, y.nc)::DOUBLE / greatest(length(x.nc), length(y.nc)) AS cs, 1 - levenshtein(x.c, y.c)::DOUBLE / greatest(length(x.c), length(y.c)) AS ci FROM k x JOIN k y ON (x.nc, x.c) < (y.nc, y.c))
+SELECT round(0.6 * cs + 0.4 * ci, 3) AS score, count(*) AS links FROM s WHERE cs > 0.85 AND 0.6 * cs + 0.4 * ci > 0.7 GROUP BY 1""")
+def dup_links(spark, at):
+    """How many pairs of profiles are similar, by score."""
+    return dedup.duplicate_classes(_parts(spark, at))[1].groupBy("score").agg(F.count("*").alias("links"))
+
+
 _SQL_KNOWN = """SELECT a.s_suppkey AS "leadAId", b.s_suppkey AS "leadBId", CASE WHEN a.s_suppkey % 3 = 0 THEN 'DISMISSED' ELSE 'OPEN' END AS status
 FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 37"""
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.extract import entities_of_card, extract_entities
 from ..functions.text import blank_to_null
 from ..functions.validate import final_leads, validate_leads
-from ..operators.dedup import _scored, keyed, similarity
+from ..operators.dedup import _scored, keyed, similar_names, similarity
 from ..sources.responses import explode_ocr, explode_vision
 
 INBOX = "uploadId string, engine string, response string, createdAt timestamp"
@@ -56,14 +56,16 @@ def duplicates_of_new(new: DataFrame, leads: DataFrame, threshold: float = 0.7)
     spaces = (F.col("ne") == "") & (F.coalesce("email", F.lit("")) != "")
     parts.append(scored(mine.where(spaces).alias("n").join(o, (F.col("n.ne") == F.col("o.ne")) & low)))
     parts.append(scored(n.join(all_.where(spaces).alias("o"), (F.col("n.ne") == F.col("o.ne")) & (F.col("o.id") < F.col("n.id")))))
-    # And similar names with a city each: distinct new names against all distinct names of near length, then the rows of what is similar.
+    # And similar names with a city each, then the rows of what is similar.
     blank = ((F.col("ne") == "") | (F.col("np") == "") | (F.col("n6") == "")) & blank_to_null("city").isNotNull()
     held = [k.where(blank).withColumn("lc", F.lower("city")) for k in (mine, all_)]
-    names = [k.select("nc", "lc", F.length("nc").alias("size")).distinct() for k in held]
-    near = F.sequence(F.floor(F.col("size") * 0.85).cast("int"), F.ceil(F.col("size") / 0.85).cast("int"))
-    company, city = similarity(F.col("n.nc"), F.col("o.nc")), similarity(F.col("n.lc"), F.col("o.lc"))
-    like = names[0].select("*", F.explode(near).alias("other")).alias("n").join(names[1].alias("o"), F.col("n.other") == F.col("o.size"))
-    like = like.where((company > 0.85) & (0.6 * company + 0.4 * city > threshold - 0.001))
+    names = [k.select("nc", "lc").distinct() for k in held]
+    # Distinct new names against all distinct names, by the same index as in a full scan.
+    fresh = names[0].withColumn("new", F.lit(True)).unionByName(names[1].withColumn("new", F.lit(False)))
+    alike = similar_names(fresh, new="new")
+    alike = alike.unionByName(alike.where(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "alike"))
+    like = alike.join(names[0].alias("n"), F.col("n.nc") == F.col("x")).join(names[1].alias("o"), F.col("o.nc") == F.col("y"))
+    like = like.where(0.6 * F.col("alike") + 0.4 * similarity(F.col("n.lc"), F.col("o.lc")) > threshold - 0.001)
     like = like.select(F.col("n.nc").alias("x"), F.col("n.lc").alias("xc"), F.col("o.nc").alias("y"), F.col("o.lc").alias("yc"))
     left = held[0].alias("n").join(like, (F.col("n.nc") == F.col("x")) & (F.col("n.lc") == F.col("xc")))
     alone = (F.col("n.ne") == "") & (F.col("o.ne") == "") | (F.col("n.np") == "") & (F.col("o.np") == "") | (F.col("n.n6") == "") & (F.col("o.n6") == "")

@@ -432,20 +432,44 @@ def ocr_choose_engine(spark, at):
 
 
 @query("""SELECT id, page, row_number() OVER (PARTITION BY page ORDER BY round_even(y / 150.0, 0), x, y) - 1 AS idx
-FROM (SELECT doc_id AS id, doc_id % 10 AS page, (doc_id * 7919) % 1009 AS x, (doc_id * 104729) % 997 AS y FROM labels) QUALIFY idx < 50""")
+FROM (SELECT doc_id AS id, doc_id // 50 AS page, (doc_id * 7919) % 1009 AS x, (doc_id * 104729) % 997 AS y FROM labels) QUALIFY idx < 50""")
 def reading_order(spark, at):
     d = F.col("doc_id")
-    boxes = table(spark, at, "labels").select(d.alias("id"), (d % 10).alias("page"), ((d * 7919) % 1009).alias("x"), ((d * 104729) % 997).alias("y"), F.lit(1000).alias("h"))
+    boxes = table(spark, at, "labels").select(d.alias("id"), F.call_function("div", d, F.lit(50)).alias("page"), ((d * 7919) % 1009).alias("x"), ((d * 104729) % 997).alias("y"), F.lit(1000).alias("h"))
     return cards.reading_order(boxes, "page", "h").select("id", "page", F.col("cardIndex").cast("long").alias("idx"))
 
 
-@query()
+_SQL_BOXES = """SELECT vec_id AS id, vec_id // 50 AS page, CAST(trunc(abs(embedding[1]::DOUBLE) * 400) AS INTEGER) AS x, CAST(trunc(abs(embedding[2]::DOUBLE) * 400) AS INTEGER) AS y,
+  20 + CAST(trunc(abs(embedding[3]::DOUBLE) * 400) AS INTEGER) AS w, 20 + CAST(trunc(abs(embedding[4]::DOUBLE) * 400) AS INTEGER) AS h FROM embeddings WHERE embedding IS NOT NULL"""
+#: Boxes of a page by falling area, each kept if it overlaps no kept one.
+_SQL_KEPT = """SELECT page, unnest(list_reduce(list([{'id': id, 'x': x, 'y': y, 'w': w, 'h': h}] ORDER BY w * h DESC, id), lambda kept, one: CASE WHEN len(list_filter(kept, lambda k:
+    greatest(0, least(k.x + k.w, one[1].x + one[1].w) - greatest(k.x, one[1].x)) * greatest(0, least(k.y + k.h, one[1].y + one[1].h) - greatest(k.y, one[1].y)) / CAST(k.w * k.h + one[1].w * one[1].h
+    - greatest(0, least(k.x + k.w, one[1].x + one[1].w) - greatest(k.x, one[1].x)) * greatest(0, least(k.y + k.h, one[1].y + one[1].h) - greatest(k.y, one[1].y)) AS DOUBLE) >= 0.3)) = 0 THEN kept || one ELSE kept END)) AS b FROM boxes GROUP BY page"""
+
+
+def _boxes(spark, at):
+    """Boxes of pages, made from the first components of vectors."""
+    side = lambda k: (F.abs(F.col("embedding")[k].cast("double")) * 400).cast("int")
+    return table(spark, at, "embeddings").where(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("id"), F.call_function("div", F.col("vec_id"), F.lit(50)).alias("page"), side(0).alias("x"), side(1).alias("y"), (side(2) + 20).alias("w"), (side(3) + 20).alias("h"))
+
+
+@query(f"""WITH boxes AS ({_SQL_BOXES}), k AS ({_SQL_KEPT}) SELECT page, b.id AS id, b.x AS x, b.y AS y, b.w AS w, b.h AS h FROM k""")
 def suppress_overlaps(spark, at):
-    """Greedy suppression over boxes made from vectors' first components."""
-    side = lambda k: (F.abs(F.col("embedding")[k]) * 400).cast("int")
-    boxes = table(spark, at, "embeddings").where(F.col("embedding").isNotNull()).select("vec_id", F.struct(side(0).alias("x"), side(1).alias("y"), (side(2) + 20).alias("w"), (side(3) + 20).alias("h")).alias("b"))
-    pages = boxes.groupBy((F.col("vec_id") % 50).alias("page")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "b"))).alias("held"))
-    return pages.select("page", F.explode(cards.suppressed(F.transform("held", lambda x: x["b"]))).alias("b")).select("page", "b.*")
+    """Greedy suppression of overlapping boxes on every page."""
+    return cards.suppress(_boxes(spark, at)).select("page", "id", "x", "y", "w", "h")
+
+
+@query(f"""WITH pages AS (SELECT DISTINCT vec_id // 50 AS page, 300 AS width, 300 + 100 * CAST(vec_id // 50 % 3 AS INTEGER) AS height FROM embeddings), found AS ({_SQL_BOXES}),
+boxes AS (SELECT id, page, x, y, w, h FROM found JOIN pages USING (page) WHERE page % 4 <> 1 AND w * h / (width * height)::DOUBLE BETWEEN 0.02 AND 0.95 AND greatest(w, h) / least(w, h)::DOUBLE BETWEEN 1.2 AND 2.4),
+k AS ({_SQL_KEPT}), a AS (SELECT page, height, b IS NULL AS whole, coalesce(b.x, 0) AS x, coalesce(b.y, 0) AS y, coalesce(b.w, width) AS w, coalesce(b.h, height) AS h FROM pages LEFT JOIN k USING (page)),
+o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY round_even(y / (height * 0.15::DOUBLE), 0), x, y) - 1 AS n FROM a)
+SELECT page, CAST(n AS INTEGER) AS "cardIndex", x, y, w, h, whole FROM o WHERE n < 50""")
+def detect_cards(spark, at):
+    """Cards of every page; pages without one are a card as a whole."""
+    boxes = _boxes(spark, at)
+    sides = F.col("page"), F.lit(300).alias("width"), (300 + 100 * (F.col("page") % 3)).cast("int").alias("height")
+    pages = table(spark, at, "embeddings").select(F.call_function("div", F.col("vec_id"), F.lit(50)).alias("page")).distinct().select(*sides)
+    return cards.detected(pages, boxes.where(F.col("page") % 4 != 1))
 
 
 @query("""SELECT doc_id AS id, round(0.5 * least(s / 500.0, 1.0) + 0.3 * least(c / 80.0, 1.0) + 0.2 * (1 - 2 * abs(m / 255.0 - 0.5)), 4)::DOUBLE AS quality

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.exports import save
+
 # Actions of the log.
 ACTIONS = [
     "AUTH_LOGIN", "AUTH_REGISTER", "AUTH_LOGOUT", "AUTH_PASSWORD_CHANGE", "USER_UPDATE", "UPLOAD_CREATE", "LEAD_UPDATE", "LEAD_APPROVE", "LEAD_REJECT", "LEAD_TRASH",
@@ -32,3 +34,14 @@ def crop_path(upload_id: Column, page: Column, card: Column) -> Column:
 def crop_bytes(data: Column) -> Column:
     """The bytes of a base64 image, with or without a data URL's head; null where it isn't one."""
     return F.try_to_binary(F.nullif(F.regexp_replace(data, r"^data:image/[A-Za-z0-9.+-]+;base64,", ""), F.lit("")), F.lit("base64"))
+
+
+def save_crops(crops: DataFrame, folder: str, name: str) -> tuple[DataFrame, int]:
+    """Writes the images of ``crops`` (uploadId, pageIndex, cardIndex, data) below ``folder``, by tasks, and gives the rows with ``cropPath`` (empty where there is no image) and how many were written.
+
+    A file's name follows from its row, so a repeated task writes what is there; each file is moved to its place when it is whole. ``name`` is that of the run.
+    """
+    image, path = crop_bytes(F.col("data")), crop_path(F.col("uploadId"), F.col("pageIndex"), F.col("cardIndex"))
+    done = save(crops.select(path.alias("name"), image.alias("content")).where(F.col("content").isNotNull()), folder, name, "images")
+    stored = F.when(image.isNotNull(), F.concat(F.lit(folder.rstrip("/") + "/"), path)).otherwise("")
+    return crops.withColumn("cropPath", stored).drop("data"), done["rows"]

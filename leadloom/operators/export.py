@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import zipfile
-from collections.abc import Iterable
 from datetime import datetime
-from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.extract import primary
 from ..functions.text import first_filled
 from ..functions.values import CRM_COLUMNS, CRM_DEFAULTS
+from ..sources.exports import SHEET_ROWS, save
 
 
 def stamp(at: Column) -> Column:
@@ -63,44 +61,25 @@ def file_name(fmt: str, at: datetime, prefix: str = "leads") -> str:
     return f"{prefix}_{at.strftime('%Y-%m-%dT%H-%M-%S')}-{at.microsecond // 1000:03d}Z.{fmt.lower()}"
 
 
-def write(rows: DataFrame, fmt: str, folder: str, at: datetime) -> str:
-    """Writes the rows (in order) to a new path below ``folder``; never over an old one. CSV and JSON by Spark, XLSX as one file that the driver streams."""
-    path = f"{folder.rstrip('/')}/{file_name(fmt, at)}"
-    ordered = rows.orderBy("leadId", "pos").select(CRM_COLUMNS)
-    if fmt == "CSV":
-        ordered.write.mode("errorifexists").options(header=True, emptyValue="", nullValue="", escape='"').csv(path)
-    elif fmt == "JSON":
-        ordered.write.mode("errorifexists").json(path)
-    elif fmt == "XLSX":
-        with open(path, "xb") as out:
-            xlsx(out, CRM_COLUMNS, (r for r in ordered.toLocalIterator()))
-    else:
-        raise ValueError(f"Unsupported export format: {fmt}")
-    return path
-
-
-def xlsx(out, columns: list[str], rows: Iterable) -> int:
-    """A workbook with one sheet "Leads", written row by row; the header is bold and white on dark blue. Returns the number of rows."""
-    sheet, n = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", 0
-    rel, doc = "http://schemas.openxmlformats.org/package/2006", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    cell = lambda v, s="": f'<c t="inlineStr"{s}><is><t xml:space="preserve">{escape("".join(x for x in str(v) if x >= " " or x in chr(9) + chr(10)))}</t></is></c>'
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        kinds = "".join(f'<Override PartName="{p}" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.{k}+xml"/>' for p, k in (("/xl/workbook.xml", "sheet.main"), ("/xl/worksheets/sheet1.xml", "worksheet"), ("/xl/styles.xml", "styles")))
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{rel}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{kinds}</Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{rel}/relationships"><Relationship Id="r1" Type="{doc}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{sheet}" xmlns:r="{doc}"><sheets><sheet name="Leads" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{rel}/relationships"><Relationship Id="r1" Type="{doc}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{doc}/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{sheet}"><fonts count="2"><font/><font><b/><color rgb="FFFFFFFF"/></font></fonts><fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FF0A1F44"/></patternFill></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/></cellXfs></styleSheet>')
-        with z.open("xl/worksheets/sheet1.xml", "w") as f:
-            f.write(f'<worksheet xmlns="{sheet}"><cols><col min="1" max="{len(columns)}" width="22" customWidth="1"/></cols><sheetData><row>'.encode())
-            f.write("".join(cell(c, ' s="1"') for c in columns).encode() + b"</row>")
-            for row in rows:
-                f.write(f"<row>{''.join(cell(v) for v in row)}</row>".encode())
-                n += 1
-            f.write(b"</sheetData></worksheet>")
-    return n
-
-
-def ledger_row(rows: DataFrame, fmt: str, path: str, filters: str, user_id: str, at: datetime) -> DataFrame:
-    """The row for the table of exports; ``leadCount`` is the number of rows written."""
-    return rows.agg(F.count("*").cast("int").alias("leadCount")).select(F.sha2(F.lit(path), 256).alias("id"), F.lit(fmt).alias("format"), F.lit(path).alias("storedPath"), "leadCount", F.lit(filters).alias("filters"), F.lit(user_id).alias("createdById"), F.lit(at).cast("timestamp_ntz").alias("createdAt"))
+def write(rows: DataFrame, fmt: str, folder: str, at: datetime, most: int = SHEET_ROWS - 1) -> str:
+    """Writes the rows in order to a new path below ``folder``, never over an old one, and returns it: one CSV, JSON or XLSX file or, where the rows make more than one part, a folder of numbered ones, each whole in itself. Tasks write the files (``sources.exports``)."""
+    return f"{folder.rstrip('/')}/{write_counted(rows, fmt, folder, at, most)['path']}"
+
+
+def write_counted(rows: DataFrame, fmt: str, folder: str, at: datetime, most: int = SHEET_ROWS - 1) -> dict:
+    """As ``write``, but returns what was written: path, number of rows, files."""
+    name, kind = file_name(fmt, at).rsplit(".", 1)
+    return save(rows.orderBy("leadId", "pos").select(CRM_COLUMNS), folder, name, kind, most)
+
+
+def write_logged(rows: DataFrame, fmt: str, folder: str, filters: str, user_id: str, at: datetime) -> tuple[str, DataFrame]:
+    """Writes the rows and gives the path and the row for the table of exports; the rows are read once, the writer counts them."""
+    done = write_counted(rows, fmt, folder, at)
+    path = f"{folder.rstrip('/')}/{done['path']}"
+    return path, ledger_row(rows, fmt, path, filters, user_id, at, done["rows"])
+
+
+def ledger_row(rows: DataFrame, fmt: str, path: str, filters: str, user_id: str, at: datetime, written: int | None = None) -> DataFrame:
+    """The row for the table of exports; ``leadCount`` is the number of rows written, counted only where it isn't given."""
+    counted = rows.agg(F.count("*").cast("int").alias("leadCount")) if written is None else rows.sparkSession.range(1).select(F.lit(written).cast("int").alias("leadCount"))
+    return counted.select(F.sha2(F.lit(path), 256).alias("id"), F.lit(fmt).alias("format"), F.lit(path).alias("storedPath"), "leadCount", F.lit(filters).alias("filters"), F.lit(user_id).alias("createdById"), F.lit(at).cast("timestamp_ntz").alias("createdAt"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, validate
@@ -19,6 +19,7 @@ from ..functions.values import COMPANY_WORDS, DESIGNATIONS
 from ..operators import analytics, cards, companies, dedup, export, leads
 from ..session import spread
 from ..sources import files, responses
+from ..storage import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -182,16 +183,36 @@ def _card_leads(spark, at):
     return blank.withColumn("company", F.struct(F.lit("Co").alias("name"), F.lit("co.example").alias("website"), F.lit("Tools").alias("industry"), F.lit("X").alias("city"), F.lit("Y").alias("state"), F.lit("").alias("gstin"), F.lit("India").alias("country"), F.lit("1").alias("postalCode")))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role, text AS email, nullif(role, 'user') AS mobile, turn = 0 AND conv_id % 2 = 0 AS prim FROM conversations),
+_CRM_SHOWN = {"Company Name": "company", "Website": "website", "Email": "email", "Contact Person": "person", "Mobile": "mobile", "City": "city", "Account Status": "status", "Created At": "created"}
+_SQL_CRM = """WITH t AS (SELECT conv_id, turn, role, text AS email, nullif(role, 'user') AS mobile, turn = 0 AND conv_id % 2 = 0 AS prim FROM conversations),
 p AS (SELECT conv_id, arg_min(struct_pack(role := role, email := email, mobile := mobile), (CASE WHEN prim THEN 0 ELSE 1 END, turn)) AS c FROM t GROUP BY 1),
 l AS (SELECT conv_id, c, source, lang FROM p JOIN documents ON doc_id = conv_id),
 x AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, email) AS pos, role, email, mobile FROM t WHERE NOT prim)
 SELECT conv_id AS "leadId", 0 AS pos, source AS company, 'co.example' AS website, coalesce(nullif(c.email, ''), '') AS email, coalesce(c.role, '') AS person,
   coalesce(c.mobile, '99') AS mobile, lang AS city, 'New Lead' AS status, '2024-01-02 03:04:05' AS created FROM l
-UNION ALL SELECT l.conv_id, x.pos, source, 'co.example', coalesce(x.email, ''), coalesce(x.role, ''), coalesce(x.mobile, ''), lang, 'New Lead', '2024-01-02 03:04:05' FROM l JOIN x ON x.conv_id = l.conv_id""")
+UNION ALL SELECT l.conv_id, x.pos, source, 'co.example', coalesce(x.email, ''), coalesce(x.role, ''), coalesce(x.mobile, ''), lang, 'New Lead', '2024-01-02 03:04:05' FROM l JOIN x ON x.conv_id = l.conv_id"""
+
+
+@query(_SQL_CRM)
 def crm_rows(spark, at):
     rows = export.crm_rows(_card_leads(spark, at))
-    return rows.select("leadId", "pos", F.col("Company Name").alias("company"), F.col("Website").alias("website"), F.col("Email").alias("email"), F.col("Contact Person").alias("person"), F.col("Mobile").alias("mobile"), F.col("City").alias("city"), F.col("Account Status").alias("status"), F.col("Created At").alias("created"))
+    return rows.select("leadId", "pos", *(F.col(c).alias(n) for c, n in _CRM_SHOWN.items()))
+
+
+@query(f"""WITH r AS ({_SQL_CRM}) SELECT format, company, website, email, person, mobile, city, status, created, row_number() OVER (PARTITION BY format ORDER BY "leadId", pos) AS line FROM r, (VALUES ('CSV'), ('JSON')) f(format)""")
+def export_files(spark, at):
+    """The rows as written to CSV and JSON files by tasks, read back, with their lines in the file."""
+    rows, folder = export.crm_rows(_card_leads(spark, at)), workspace(spark)
+    out = None
+    for fmt in ("CSV", "JSON"):
+        done = export.write_counted(rows, fmt, folder, AS_OF)
+        path = f"{folder}/{done['path']}"
+        back = spark.read.csv(path, header=True, multiLine=True, escape='"') if fmt == "CSV" else spark.read.json(path, multiLine=True)
+        # Files are numbered in the order of their rows, and each is read from its begin to its end.
+        numbered = back.select(F.lit(fmt).alias("format"), *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in _CRM_SHOWN.items()), F.struct(F.input_file_name(), F.monotonically_increasing_id()).alias("at"))
+        one = numbered.withColumn("line", F.row_number().over(Window.partitionBy("format").orderBy("at"))).drop("at")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("""SELECT page_id, split_part(regexp_replace(regexp_replace(url, '^https?://', ''), '^www\\.', ''), '/', 1) AS domain FROM pages""")

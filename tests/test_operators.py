@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.text import ratio_pct
 from leadloom.operators import analytics, cards, companies, dedup, export, leads
-from leadloom.sources import files, responses
+from leadloom.sources import exports, files, responses
 from leadloom.streaming import ingest
 
 LEADS = [
@@ -94,7 +94,7 @@ def test_crm_rows(spark, tmp_path):
         export.write(rows, "CSV", str(tmp_path), at)
     with pytest.raises(ValueError):
         export.write(rows, "PDF", str(tmp_path), at)
-    assert spark.read.json(export.write(rows, "JSON", str(tmp_path), at)).count() == 5
+    assert spark.read.json(export.write(rows, "JSON", str(tmp_path), at), multiLine=True).count() == 5
     book = zipfile.ZipFile(export.write(rows, "XLSX", str(tmp_path), at))
     sheet = book.read("xl/worksheets/sheet1.xml").decode()
     assert sheet.count("<row>") == 6 and "SAP Customer Code" in sheet and "&quot;" not in re.sub("<[^>]*>", "", sheet)
@@ -103,7 +103,7 @@ def test_crm_rows(spark, tmp_path):
 
 def test_xlsx_is_streamed():
     out = io.BytesIO()
-    assert export.xlsx(out, ["a"], ((f"<{k}>",) for k in range(3))) == 3
+    assert exports.xlsx(out, ["a"], ((f"<{k}>",) for k in range(3))) == 3
     assert "&lt;2&gt;" in zipfile.ZipFile(out).read("xl/worksheets/sheet1.xml").decode()
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import forget, stored, workspace
-from .terms import counts, splitter
+from .terms import pieces, splitter
 
 LEAST_DOCS = 3
 TOP = 200
@@ -44,8 +44,10 @@ SCALE = 1_000_000_000
 BLOCK = 64
 #: Chosen cells up to which terms are looked up by a broadcast; beyond it by a shuffle.
 BROADCAST_CELLS = 200_000
-_HELD = 300_000
+_HELD = 500_000
 _PAIRS = 1 << 20
+#: Pairs of sources whose sums are kept in an array; beyond that by a sort.
+_CODES = 1 << 22
 _LETTERS = splitter(digits=False)
 _COUNTED = "lang string, source string, term string, n long, d long"
 
@@ -66,9 +68,11 @@ def counted(docs: DataFrame) -> DataFrame:
             for text, lang, source in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 n, d = held[lang, source]
                 size -= len(n)
-                found = counts(text.as_py(), _LETTERS)
-                n.update(found)
-                d.update(found.keys())
+                seen: set[bytes] = set()
+                for part in pieces(text.as_py(), _LETTERS):
+                    n.update(part)
+                    seen.update(part)
+                d.update(seen)
                 size += len(n)
                 if size > _HELD or len(held) > _HELD:
                     yield from batch_of(held)
@@ -132,11 +136,20 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _sums(lang: np.ndarray, a: dict[str, np.ndarray], b: dict[str, np.ndarray], m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over pairs of entries of one term each: the distinct (lang, source a, source b) and what their common terms add, in two parts of 32 bits."""
     extra = _f(a["p"], b["p"]) - _f(a["p"], b["p0"]) - _f(a["p0"], b["p"]) + _f(a["p0"], b["p0"])
-    keys, which = np.unique(np.stack([lang, a["k"], b["k"]], 1), axis=0, return_inverse=True)
-    high, low = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    np.add.at(high, which.ravel(), (extra >> 32) * m)
-    np.add.at(low, which.ravel(), (extra & 0xFFFFFFFF) * m)
-    return keys, high, low
+    most = int(max(a["k"].max(), b["k"].max())) + 1 if len(lang) else 1
+    codes = (lang * most + a["k"]) * most + b["k"]
+    dense = len(codes) > 0 and codes.max() < _CODES
+    if dense:
+        which, n = codes, int(codes.max()) + 1
+    else:
+        codes, which = np.unique(codes, return_inverse=True)
+        n = len(codes)
+    high, low = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    np.add.at(high, which, (extra >> 32) * m)
+    np.add.at(low, which, (extra & 0xFFFFFFFF) * m)
+    some = np.flatnonzero(high | low)
+    codes = some if dense else codes[some]
+    return np.stack([codes // most // most, codes // most % most, codes % most], 1), high[some], low[some]
 
 
 def _common(cells: DataFrame) -> DataFrame:

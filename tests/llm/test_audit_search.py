@@ -66,6 +66,7 @@ def test_divergence(spark, seed, monkeypatch):
         monkeypatch.setattr(divergence, "TOP", 7)
         monkeypatch.setattr(divergence, "_HELD", 5)
         monkeypatch.setattr(divergence, "_PAIRS", 3)
+        monkeypatch.setattr(divergence, "_CODES", 0)
         monkeypatch.setattr(divergence, "BROADCAST_CELLS", 0)
         monkeypatch.setattr(terms, "PIECE", 16)
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").withColumns({"term": F.lit(1), "n": F.lit("clash")}).repartition(5)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import WS
 from ..storage import forget, stored, workspace
 
 # Limits of a card's share of the page and of its shape, of overlaps and of an engine's confidence.
@@ -122,6 +123,12 @@ def quality_score(sharpness: Column, contrast: Column, mean: Column) -> Column:
     return F.round(0.5 * F.least(sharpness / 500, F.lit(1.0)) + 0.3 * F.least(contrast / 80, F.lit(1.0)) + 0.2 * middle, 4)
 
 
+def sure_words(words: Column) -> Column:
+    """An engine's words (text, confidence of 0 to 100) with confidences of 0 to 1; blank words and those without a confidence (below 0) are left out."""
+    held = F.filter(words, lambda w: F.coalesce((F.regexp_replace(w["text"], WS, "") != "") & (w["confidence"] >= 0), F.lit(False)))
+    return F.transform(held, lambda w: F.struct(w["text"].alias("text"), (w["confidence"] / 100.0).alias("confidence")))
+
+
 def mean_confidence(items: Column) -> Column:
     """Mean confidence of an engine's lines, 0 without any."""
     return F.when(F.size(items) > 0, F.aggregate(items, F.lit(0.0), lambda s, x: s + x["confidence"]) / F.nullif(F.size(items), F.lit(0))).otherwise(0.0)

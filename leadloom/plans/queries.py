@@ -308,17 +308,26 @@ def validate_fields(spark, at):
     return table(spark, at, "pages").select("page_id", *(f(c)["confidence"].alias(n) for f, c, n in ((validate.score_email, email, "email_confidence"), (validate.score_phone, phone, "phone_confidence"), (validate.score_website, F.col("url"), "website_confidence"))))
 
 
+#: (address, city, gstin, phone) and the (city, state, country) that they give; # stands for the row's id.
 _GEO = [
-    (1, "MIDC Bhosari Pune 411026", None, None, "+91 9876543210"), (2, None, None, "27ABCDE1234F1Z5", None), (3, "Vashi, Navi Mumbai", None, None, None), (4, "Connaught Place, New Delhi", None, None, None),
-    (5, "Sheikh Zayed Rd, Dubai", None, None, None), (6, "Kerala", None, None, None), (7, "Pune", None, "29ABCDE1234F1Z5", None), (8, None, None, None, "+91 1"), (9, "nowhere", "Oslo", None, None),
+    ("MIDC Bhosari Plot # Pune 411026", None, None, "+91 9876543210", "Pune", "Maharashtra", "India"), (None, None, "27ABCDE1234F1Z5", None, None, "Maharashtra", "India"),
+    ("#, Vashi, Navi Mumbai", None, None, None, "Mumbai", "Maharashtra", "India"), ("Connaught Place #, New Delhi", None, None, None, "Delhi", "Delhi", "India"),
+    ("Sheikh Zayed Rd #, Dubai", None, None, None, "Dubai", None, "UAE"), ("# Kerala", None, None, None, None, "Kerala", "India"), ("Pune", None, "29ABCDE1234F1Z5", None, "Pune", "Karnataka", "India"),
+    (None, None, None, "+91 #", None, None, "India"), ("nowhere #", "Oslo", None, None, "Oslo", None, None), (None, None, None, None, None, None, None),
 ]
 
 
-@query("""SELECT * FROM (VALUES (1, 'Pune', 'Maharashtra', 'India'), (2, NULL, 'Maharashtra', 'India'), (3, 'Mumbai', 'Maharashtra', 'India'), (4, 'Delhi', 'Delhi', 'India'), (5, 'Dubai', NULL, 'UAE'),
-(6, NULL, 'Kerala', 'India'), (7, 'Pune', 'Karnataka', 'India'), (8, NULL, NULL, 'India'), (9, 'Oslo', NULL, NULL)) t(id, city, state, country)""")
+def _case(values: list, other: str = "NULL") -> str:
+    return "CASE page_id % 10 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values) if v is not None) + f" ELSE {other} END"
+
+
+@query(f"""SELECT page_id AS id, {_case([g[4] for g in _GEO])} AS city, {_case([g[5] for g in _GEO])} AS state, {_case([g[6] for g in _GEO])} AS country FROM pages""")
 def resolve_geo(spark, at):
-    rows = spark.createDataFrame(_GEO, "id int, address string, city string, gstin string, phone string")
+    """City, state and country of a lead a page, from address, city, tax number and phone."""
+    k = F.col("page_id") % 10
+    given = lambda n: F.coalesce(*(F.when(k == i, F.replace(F.lit(g[n]), F.lit("#"), F.col("page_id").cast("string"))) for i, g in enumerate(_GEO) if g[n] is not None))
     none = F.lit(None).cast("string")
+    rows = table(spark, at, "pages").select(F.col("page_id").alias("id"), *(given(n).alias(c) for n, c in enumerate(("address", "city", "gstin", "phone"))))
     return rows.select("id", validate.resolve_geo(F.col("address"), F.col("city"), none, none, F.col("gstin"), F.col("phone")).alias("g")).select("id", "g.city", "g.state", "g.country")
 
 
@@ -500,18 +509,60 @@ def image_quality(spark, at):
     return table(spark, at, "labels").select(d.alias("id"), cards.quality_score((d % 700).cast("double"), (d % 90).cast("double"), (d % 256).cast("double")).alias("quality"))
 
 
-_ANSWERS = [
-    (1, 'Here: {"cards": [{"company": "A Ltd", "contacts": [{"name": "N", "email": "n@a.com", "isPrimary": false}, {"name": "M", "mobile": "1", "isPrimary": true}], "confidence": 87}, {"company": "B"}]} done'),
-    (2, '{"company": "C", "confidence": 300, "city": "Pune"}'), (3, '{"other": 1}'), (4, "no cards"),
-]
+def _answers(spark, at):
+    """An answer a page, in the forms that models give: text around a list of cards, a single card, other objects, no JSON, broken JSON, fields of other types."""
+    n, host = F.col("page_id"), F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    name = F.concat(F.lit("Co "), n.cast("string"))
+    contact = lambda mail, mobile, prime: F.struct(F.lit("N").alias("name"), mail.alias("email"), mobile.alias("mobile"), F.lit(prime).alias("isPrimary"))
+    none = F.lit(None).cast("string")
+    first = F.struct(name.alias("company"), host.alias("website"), F.array(contact(F.concat(F.lit("n@"), host), none, False), contact(none, n.cast("string"), True)).alias("contacts"), (n % 100).alias("confidence"))
+    listed = F.concat(F.lit("Here: "), F.to_json(F.struct(F.array(first, F.struct(F.lit("B").alias("company"), none.alias("website"), F.array().cast(_CONTACTS).alias("contacts"), none.cast("long").alias("confidence"))).alias("cards"))), F.lit(" done"))
+    single = F.to_json(F.struct(name.alias("company"), F.lit(300).alias("confidence"), F.lit("Pune").alias("city")))
+    odd = F.concat(F.lit('{"cards": "none", "company": '), n.cast("string"), F.lit(', "confidence": "50", "city": {"name": "Pune"}}'))
+    forms = [listed, single, F.lit('{"other": 1}'), host, F.concat(F.lit('{"cards": [{"company": "'), host, F.lit('"}')), odd]
+    text = F.coalesce(*(F.when(n % 6 == k, form) for k, form in enumerate(forms)))
+    return table(spark, at, "pages").select(n.alias("id"), text.alias("response"))
+
+
+_CONTACTS = "array<struct<name:string,email:string,mobile:string,isPrimary:boolean>>"
+_SQL_HOST = "SELECT page_id AS id, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages"
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 'A Ltd', 'n@a.com', '1', 0.87::DOUBLE, NULL), (1, 1, 'B', NULL, NULL, NULL, NULL), (2, 0, 'C', NULL, NULL, 1.0::DOUBLE, 'Pune')) t(id, "cardIndex", "companyName", email, phone, confidence, city)""")
+@query(f"""WITH p AS ({_SQL_HOST})
+SELECT id, 0 AS "cardIndex", 'Co ' || id AS "companyName", 'n@' || host AS email, CAST(id AS VARCHAR) AS phone, (id % 100) / 100.0::DOUBLE AS confidence, NULL AS city FROM p WHERE id % 6 = 0
+UNION ALL SELECT id, 1, 'B', NULL, NULL, NULL, NULL FROM p WHERE id % 6 = 0
+UNION ALL SELECT id, 0, 'Co ' || id, NULL, NULL, 1.0, 'Pune' FROM p WHERE id % 6 = 1
+UNION ALL SELECT id, 0, CAST(id AS VARCHAR), NULL, NULL, 0.5, NULL FROM p WHERE id % 6 = 5""")
 def vision_json_parse(spark, at):
-    rows = responses.explode_vision(spark.createDataFrame(_ANSWERS, "id int, response string"))
+    """Cards from the answers of models, a row a card."""
+    rows = responses.explode_vision(_answers(spark, at))
     return extract.entities_of_card(rows).select("id", "cardIndex", "companyName", "email", F.col("phonePrimary").alias("phone"), F.col("aiConfidence").alias("confidence"), "city")
 
 
+@query(f"""WITH p AS ({_SQL_HOST}) SELECT id, CASE id % 6 WHEN 3 THEN host ELSE '{{"cards": [{{"company": "' || host || '"}}' END AS response, CASE id % 6 WHEN 3 THEN 'no JSON' ELSE 'invalid JSON' END AS fault FROM p WHERE id % 6 IN (3, 4)""")
+def answer_quarantine(spark, at):
+    """Answers that don't parse, kept as they came."""
+    return responses.quarantine(_answers(spark, at))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, role, text, (conv_id * 31 + turn * 17) % 120 - 10 AS conf FROM conversations),
+e AS (SELECT conv_id, turn, role, text, coalesce((SELECT avg(c / 100.0) FROM (SELECT unnest([conf, 60, 90]) AS c) WHERE c >= 0), 0)::DOUBLE AS mean FROM w),
+t AS (SELECT *, (conv_id % 100)::DOUBLE / 100 AS other, turn % 3 <> 2 AS there FROM e)
+SELECT conv_id AS id, turn AS "cardIndex", CASE WHEN there AND (other >= 0.85 OR other >= mean) THEN 'PADDLEOCR' ELSE 'TESSERACT' END AS engine, CASE WHEN there AND (other >= 0.85 OR other >= mean) THEN role ELSE text END AS "rawText",
+  round(CASE WHEN there AND (other >= 0.85 OR other >= mean) THEN other ELSE mean END, 6)::DOUBLE AS confidence, turn * 10 AS x FROM t""")
+def ocr_results(spark, at):
+    """Cards of a reading service's JSON answers, one a conversation: the surer of two engines, whose words without a confidence don't count."""
+    turns = table(spark, at, "conversations")
+    conf = ((F.col("conv_id") * 31 + F.col("turn") * 17) % 120 - 10).cast("double")
+    words = F.array(*(F.struct(t.alias("text"), c.alias("confidence")) for t, c in ((F.lit("w"), conf), (F.lit("x"), F.lit(60.0)), (F.lit(" "), F.lit(99.0)), (F.lit("y"), F.lit(90.0)))))
+    kept = cards.sure_words(words)
+    engine = lambda name, text, confidence, lines, there: F.struct(F.lit(name).alias("engine"), text.alias("text"), confidence.alias("confidence"), lines.alias("lines"), there.alias("available"))
+    results = F.struct(engine("PADDLEOCR", F.col("role"), (F.col("conv_id") % 100).cast("double") / 100, F.slice(kept, 1, 0), F.col("turn") % 3 != 2).alias("paddle"), engine("TESSERACT", F.col("text"), cards.mean_confidence(kept), kept, F.lit(True)).alias("tesseract"))
+    card = F.struct(F.lit(0).alias("pageIndex"), F.col("turn").cast("int").alias("cardIndex"), F.array((F.col("turn") * 10).cast("int"), F.lit(0), F.lit(9), F.lit(9)).alias("bbox"), F.struct(results.alias("engineResults")).alias("ocr"))
+    answers = turns.groupBy(F.col("conv_id").alias("id")).agg(F.to_json(F.struct(F.lit(1).alias("pages"), F.collect_list(card).alias("cards"))).alias("response"))
+    return responses.explode_ocr(answers).select("id", F.col("cardIndex").cast("long").alias("cardIndex"), F.col("chosenEngine").alias("engine"), "rawText", F.round("confidence", 6).alias("confidence"), F.col("bbox.x").cast("long").alias("x"))
+
+
 @query("""SELECT page_id AS id, CASE WHEN page_id % 3 = 0 AND size <= 3984588 THEN 'second' WHEN page_id % 3 = 1 AND size <= 4718592 THEN 'first' ELSE 'ocr' END AS engine FROM (SELECT page_id, length(html) * 1000 AS size FROM pages)""")
 def engine_routing(spark, at):
     key = F.when(F.col("page_id") % 3 == 0, " gsk_1").when(F.col("page_id") % 3 == 1, "sk-ant-2")

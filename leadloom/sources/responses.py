@@ -15,19 +15,53 @@ OCR_RESPONSE = (
 )
 
 
-def vision_cards(text: Column) -> Column:
-    """The cards in a model's answer: from its first brace to its last, ``cards`` if there is a list, the object itself if it has a company, else none."""
-    inside = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    listed = F.from_json(inside, f"struct<cards:array<{VISION_CARD}>>")["cards"]
-    single = F.from_json(inside, VISION_CARD)
-    has_company = F.get_json_object(inside, "$.company").isNotNull()
-    return F.when(listed.isNotNull(), listed).when(has_company, F.array(single)).otherwise(F.slice(F.array(single), 1, 0))
+#: Why an answer gives no cards and its upload goes to the next reader.
+NO_JSON, BAD_JSON = "no JSON", "invalid JSON"
+_CARD_FIELDS = ("company", "website", "gstin", "address", "city", "state", "country", "postalCode", "linkedin", "industry")
+_CONTACT_FIELDS = ("name", "designation", "email", "phone", "mobile")
+
+
+def answered(responses: DataFrame, text_col: str = "response") -> DataFrame:
+    """``responses`` with ``answer``, the JSON between the first and the last brace as a variant, and ``fault``, why there is none.
+
+    The text is parsed once; fields are read from the variant by their types, and a field of another type is null by itself, not with its card.
+    """
+    inside = F.nullif(F.regexp_extract(F.coalesce(F.col(text_col), F.lit("")), r"(?s)\{.*\}", 0), F.lit(""))
+    # In a list, what follows the object is an error or a second entry; the parser alone stops at the object's end.
+    listed = F.try_parse_json(F.concat(F.lit("["), inside, F.lit("]")))
+    one = F.when(F.try_variant_get(F.col("answer"), "$[1]", "variant").isNull(), F.try_variant_get(F.col("answer"), "$[0]", "variant"))
+    read = responses.withColumn("answer", listed).withColumn("answer", one)
+    return read.withColumn("fault", F.when(inside.isNull(), NO_JSON).when(F.col("answer").isNull(), BAD_JSON))
+
+
+def quarantine(responses: DataFrame, text_col: str = "response") -> DataFrame:
+    """The answers that don't parse, as they came, with ``fault``: to be kept, and their uploads read in another way."""
+    return answered(responses, text_col).where(F.col("fault").isNotNull()).drop("answer")
+
+
+def _text(v: Column, name: str) -> Column:
+    """A field as text; lists and objects are none."""
+    whole = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")).rlike("^(ARRAY|OBJECT)")
+    return F.when(~F.coalesce(whole, F.lit(False)), F.try_variant_get(v, f"$.{name}", "string"))
+
+
+def _card(v: Column) -> Column:
+    contact = lambda c: F.struct(*(_text(c, n).alias(n) for n in _CONTACT_FIELDS), F.try_variant_get(c, "$.isPrimary", "boolean").alias("isPrimary"))
+    contacts = F.transform(F.try_variant_get(v, "$.contacts", "array<variant>"), contact)
+    return F.struct(*(_text(v, n).alias(n) for n in _CARD_FIELDS), contacts.alias("contacts"), F.try_variant_get(v, "$.confidence", "double").alias("confidence")).cast(VISION_CARD)
+
+
+def vision_cards(answer: Column) -> Column:
+    """The cards in a model's answer (a variant): ``cards`` if it is a list, the object itself if it has a company, else none."""
+    listed = F.try_variant_get(answer, "$.cards", "array<variant>")
+    alone = F.try_variant_get(answer, "$.company", "variant").isNotNull()
+    return F.transform(F.coalesce(listed, F.when(alone, F.array(answer)), F.array().cast("array<variant>")), _card)
 
 
 def explode_vision(responses: DataFrame, text_col: str = "response") -> DataFrame:
-    """One row a card, with its place in the answer."""
+    """One row a card, with its place in the answer; answers that don't parse are in ``quarantine``."""
     rest = [c for c in responses.columns if c != text_col]
-    return responses.select(*rest, F.posexplode(vision_cards(F.col(text_col))).alias("cardIndex", "card"))
+    return answered(responses, text_col).select(*rest, F.posexplode(vision_cards(F.col("answer"))).alias("cardIndex", "card"))
 
 
 def explode_ocr(responses: DataFrame, json_col: str = "response") -> DataFrame:

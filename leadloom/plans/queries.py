@@ -79,6 +79,54 @@ def dashboard_kpis(spark, at):
     return analytics.dashboard_kpis(uploads(spark, at), found, found.where(F.col("line") <= 3), found, pairs, table(spark, at, "part"))
 
 
+def _crm(spark, at):
+    """Leads with city (a ship mode), state (an instruction's first word) and keys, companies, pairs and exports, for the dashboard and the reports."""
+    found = lines(spark, at)
+    raw = table(spark, at, "lineitem")
+    leads_ = raw.select(
+        F.when(F.col("l_linestatus") == "F", "APPROVED").otherwise("PENDING_REVIEW").alias("status"), F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("deletedAt"), F.col("l_shipdate").alias("scannedAt"),
+        (F.col("l_suppkey") % 40).cast("string").alias("city"), F.when(F.col("l_partkey") % 7 > 0, F.concat(F.lit("S"), (F.col("l_partkey") % 7).cast("string"))).when(F.col("l_partkey") % 2 == 0, "").alias("state"),
+        F.when(F.col("l_linenumber") < 5, "e").alias("email"), F.when(F.col("l_linenumber") < 3, "p").alias("phonePrimary"), F.when(F.col("l_linenumber") == 1, "").alias("gstin"),
+    )
+    pairs = table(spark, at, "events").select(F.when(F.col("event_type") == "click", "OPEN").otherwise("DISMISSED").alias("status"))
+    companies_ = table(spark, at, "part").select(F.col("p_type").alias("industry"))
+    exports = table(spark, at, "supplier").select(F.when(F.col("s_suppkey") % 3 == 0, "CSV").otherwise("XLSX").alias("format"))
+    return uploads(spark, at), found, leads_, companies_, pairs, exports
+
+
+_SQL_CRM_LEADS = """l AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'APPROVED' ELSE 'PENDING_REVIEW' END AS status, l_returnflag <> 'R' AS live, strftime(l_shipdate, '%Y-%m-%d') AS day, CAST(l_suppkey % 40 AS VARCHAR) AS city,
+  CASE WHEN l_partkey % 7 > 0 THEN 'S' || l_partkey % 7 WHEN l_partkey % 2 = 0 THEN '' END AS state, l_linenumber AS n FROM lineitem)"""
+
+
+def _sql_top(part: str, key: str, source: str, n: int, nulls: bool = False) -> str:
+    """The n largest groups; with ``nulls`` the null group takes a place at the end."""
+    first = f"SELECT {key} AS label, count(*) AS count FROM {source} GROUP BY 1 " + (f"ORDER BY count({key}) DESC, 1 NULLS LAST LIMIT {n}" if nulls else f"HAVING coalesce({key}, '') <> '' ORDER BY 2 DESC, 1 LIMIT {n}")
+    return f"SELECT '{part}' AS part, row_number() OVER (ORDER BY count DESC, label) AS place, label, count FROM ({first}) WHERE coalesce(label, '') <> ''"
+
+
+@query(f"""WITH {_SQL_CRM_LEADS}, a AS (SELECT * FROM l WHERE live)
+{_sql_top('topCities', 'city', 'a', 5)} UNION ALL {_sql_top('topStates', 'state', 'a', 5)} UNION ALL {_sql_top('topIndustries', 'p_type', 'part', 5)}
+UNION ALL SELECT 'leadsCreated', 1, NULL, count(*) FROM a UNION ALL SELECT 'approved', 1, NULL, count(*) FILTER (status = 'APPROVED') FROM a UNION ALL SELECT 'totalFiles', 1, NULL, count(*) FROM orders
+UNION ALL SELECT 'cardsDetected', 1, NULL, count(*) FROM lineitem UNION ALL SELECT 'cardsProcessed', 1, NULL, count(*) FILTER (l_linenumber <= 3) FROM lineitem UNION ALL SELECT 'exportCount', 1, NULL, count(*) FROM supplier
+UNION ALL SELECT 'duplicatesFound', 1, NULL, count(*) FILTER (event_type = 'click') FROM events""")
+def dashboard_parts(spark, at):
+    """Figures and largest groups of the dashboard."""
+    files_, found, leads_, companies_, pairs, exports = _crm(spark, at)
+    return analytics.dashboard_parts(files_, found, found.where(F.col("line") <= 3), leads_, companies_, pairs, exports)
+
+
+@query(f"""WITH {_SQL_CRM_LEADS}, e AS (SELECT CASE WHEN event_type = 'click' THEN 'OPEN' ELSE 'DISMISSED' END AS status FROM events), x AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'CSV' ELSE 'XLSX' END AS format FROM supplier)
+SELECT 'leadAcquisition' AS part, row_number() OVER (ORDER BY day DESC) AS place, day AS label, count(*) AS count FROM l GROUP BY day QUALIFY place <= 30
+UNION ALL {_sql_top('stateDistribution', 'state', 'l', 20, True)} UNION ALL {_sql_top('cityDistribution', 'city', 'l', 20, True)} UNION ALL {_sql_top('industryDistribution', 'p_type', 'part', 20, True)}
+UNION ALL {_sql_top('duplicateAnalysis', 'status', 'e', 1000)} UNION ALL {_sql_top('exportStatistics', 'format', 'x', 1000)} UNION ALL {_sql_top('processingStatistics', 'o_orderstatus', 'orders', 1000)}
+UNION ALL SELECT 'total', 1, NULL, count(*) FROM l UNION ALL SELECT 'approved', 1, NULL, count(*) FILTER (status = 'APPROVED') FROM l UNION ALL SELECT 'withEmail', 1, NULL, count(*) FILTER (n < 5) FROM l
+UNION ALL SELECT 'withPhone', 1, NULL, count(*) FILTER (n < 3) FROM l UNION ALL SELECT 'withGstin', 1, NULL, count(*) FILTER (n = 1) FROM l""")
+def report_parts(spark, at):
+    """All reports, from one scan a table."""
+    files_, _, leads_, companies_, pairs, exports = _crm(spark, at)
+    return analytics.report_parts(files_, leads_, companies_, pairs, exports)
+
+
 @query("""SELECT p_type AS label, count(*) AS count FROM part WHERE p_type <> '' GROUP BY p_type ORDER BY 2 DESC, 1 LIMIT 5""")
 def top5_industries(spark, at):
     return analytics.top_n(analytics.group_counts(table(spark, at, "part"), "p_type"), "p_type")

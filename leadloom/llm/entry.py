@@ -178,7 +178,9 @@ WITH RECURSIVE w AS (
   SELECT x, min(y) AS least FROM reach GROUP BY x
 )
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id
-FROM documents AS d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id
+FROM documents AS d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id WHERE d.doc_id IS NOT NULL
+UNION ALL SELECT NULL, CASE WHEN len(w) < 5 THEN least(len(w), 1) ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END, NULL
+FROM (SELECT regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NULL)
 """
 
 

@@ -24,7 +24,7 @@ How the work is kept small, whatever the groups:
 
 Edge cases: a null, empty or blank text has no shingles, is its own component and
 links with nothing; a text of fewer words than a shingle has is one shingle; a row
-without an id links with nothing, its shingles and component are null; repeated rows are
+without an id links with nothing and its component is null; repeated rows are
 copies; rows that share an id are one node; an empty table gives no rows; other
 columns are left out, whatever their names.  Classes are told apart by 64-bit
 hashes of their sets, shingles by 64-bit hashes of their words.
@@ -417,5 +417,6 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD,
     least = stored(placed.groupBy("component").agg(F.min(id_col).alias("component_id")), f"{at}/least")
     linked = placed.join(least, "component").select(id_col, F.col("n").alias("n_shingles"), "component_id")
     rest = ids.where(F.col("class").isNull()).select(id_col, F.col("n").alias("n_shingles"), F.col(id_col).alias("component_id"))
-    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.lit(None).cast("long").alias("n_shingles"), F.col(id_col).alias("component_id"))
+    unnamed = signatures(docs.where(F.col(id_col).isNull()), id_col, text_col, size, threshold, codes, counts)
+    nameless = unnamed.select(id_col, F.col("n").alias("n_shingles"), F.col(id_col).alias("component_id"))
     return linked.unionByName(rest).unionByName(nameless)

@@ -100,14 +100,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines
     often = F.col("n") >= F.when(kind == 1, MIDDLE_FROM).when(kind == 2, SHORT_FROM).otherwise(2)
     recurring = stored(counted.where((F.col("first") != F.col("last")) & often).select("a", "b", "first"), f"{at}/recurring")
     later = each.join(recurring, ["a", "b"]).where(F.col("id") != F.col("first")).select("id", "line").distinct()
-    drops = stored(later.groupBy("id").agg(F.collect_set("line").alias("drops")), f"{at}/drops")
+    # A text's lines are looked up among its drops: as many lists of them as each list is long, by their remainder, so that a text
+    # of very many recurring lines isn't compared line by drop. They are stored, so that the lists are made once.
+    held, lists = F.col("held"), F.sqrt(F.size("held")).cast("int")
+    sorted_out = F.transform(F.sequence(F.lit(0), lists - 1), lambda k: F.filter(held, lambda h: F.pmod(h, lists.cast("long")) == k))
+    drops = stored(later.groupBy("id").agg(F.collect_set("line").alias("held")).select("id", sorted_out.alias("drops")), f"{at}/drops")
     forget(spark, f"{at}/parsed", f"{at}/recurring")
 
     whole = docs.select(F.struct("*").alias("doc"))  # one name only, so that none of its columns can clash
     joined = whole.join(drops, F.col(f"doc.{id_col}") == F.col("id"), "left")
     text = F.col(f"doc.{text_col}")
     joined = joined.select("doc", "drops", F.split(text, "\n").alias("lines"))
-    joined = joined.select("doc", "lines", F.when(F.col("drops").isNotNull(), F.filter("lines", lambda x: ~F.array_contains("drops", F.xxhash64(x)))).alias("left"))
+    joined = joined.select("doc", "lines", F.when(F.col("drops").isNotNull(), F.filter("lines", lambda x: ~F.array_contains(F.get("drops", F.pmod(F.xxhash64(x), F.size("drops").cast("long")).cast("int")), F.xxhash64(x)))).alias("left"))
     before = F.when(text.isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long")
     lost = F.when(F.col("left").isNotNull(), before - F.size("left")).otherwise(F.lit(0)).cast("long")
     kept = [(F.coalesce(F.array_join("left", "\n"), text) if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns if c not in (lines_col, dropped_col)]

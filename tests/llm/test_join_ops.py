@@ -56,6 +56,22 @@ def corpus(seed, n=120):
     return docs + [(500, None), (501, ""), (502, " \n "), (503, "One two"), (504, "one\tTWO"), (505, "y " * 4000), (506, "y " * 3000), (None, "one two"), (7, docs[7][1]), (8, docs[100][1])]
 
 
+def test_jaccard_without_ids(spark):
+    """The size of a set is there without an id, too, in the SQL as well."""
+    import duckdb
+    import pandas as pd
+
+    from leadloom.llm.entry import JACCARD_SQL
+
+    rows = [(None, "a b c d e f g"), (None, None), (None, " "), (None, "a B"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "x x x x x x x x")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    documents = pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": pd.array([r[1] for r in rows], "string")})
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        want = sorted(con.execute(JACCARD_SQL).fetchall(), key=str)
+    assert got == want == sorted([(None, 3, None), (None, 0, None), (None, 0, None), (None, 1, None), (1, 3, 1), (2, 3, 1), (None, 1, None)], key=str)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_jaccard(spark, seed, monkeypatch):
     docs = corpus(seed)

@@ -225,3 +225,16 @@ def test_word_hashes():
     assert [len(m) for m in mine] == [3, 0, 0, 0, 3, 1, 1, 6] and mine[0] == mine[4] and len(set(words.tolist())) == 8
     assert word_hashes(pa.array(texts).slice(4))[0].tolist() == words[at[4] :].tolist()
     assert len(shingle_hashes(np.array(mine[7], np.uint64), 5)) == 2 and len(shingle_hashes(np.array(mine[0], np.uint64), 5)) == 1
+
+
+def test_lines_of_a_very_long_text(spark):
+    """Tens of thousands of recurring lines in one text are looked up, not compared one by one."""
+    import time
+
+    from leadloom.llm.linetemplates import dedup
+
+    text = "\n".join(f"word{k} stays{k} the{k} same{k} all{k} through{k} here{k} and{k} there{k} it{k} recurs{k} always{k}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(40_000))
+    df = spark.createDataFrame([(1, text), (2, text + "\nand one more")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in dedup(df).collect()}
+    assert got == {1: (40_000, 0, text), 2: (40_001, 40_000, "and one more")} and time.time() - began < 60

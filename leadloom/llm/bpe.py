@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 from .shared import alone
 
 #: Bytes of words and ids that a worker remembers; an older generation is dropped beyond that (speed only).
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 96 << 20
 #: Pair tests that a worker remembers (speed only).
 FITS = 200_000
 #: Below this code point text in lower case is normal as it is, and a run of letters is one piece.
@@ -73,7 +73,7 @@ class Words(dict):
         found = self.old.get(word)
         if found is None:
             found = self.make(word)
-        if len(word) < 40:
+        if len(word) < 40 and word[-1:] not in ".,":  # a word with a stop is made of the word without it
             if self.size > self.most // 2:
                 self.old, self.size = dict(self), 0
                 self.clear()
@@ -111,15 +111,16 @@ class Bpe:
         for text, k in vocab.items():
             ends = text.endswith(self.suffix)
             plain = text.removesuffix(self.suffix) + self.END if ends else text
-            self.automaton.add_word(plain, (k, len(plain), self.rank[k] < 0))
+            self.automaton.add_word(plain, (k, len(plain), self.rank[k] < 0, {}))
         self.automaton.make_automaton()
         self.alphabet = byte_alphabet()
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.fits: dict[int, bool] = {}
+        self.known = 0
         self.stops = {c: self._word(c) for c in ".,"}
         self.chunks = Words(self._chunk)
+        self.simple = Words(self._simple_chunk)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether ``a`` then ``b`` stay two tokens: no merge across their boundary comes before those that made them."""
@@ -140,6 +141,16 @@ class Bpe:
             else:
                 return True
 
+    def _fits(self, a: int, b: int, known: dict[int, bool]) -> bool:
+        """``compatible``, remembered with the second token for a bounded number of pairs."""
+        if self.known >= FITS:
+            self.known = 0
+            for *_, held in self.automaton.values():
+                held.clear()
+        self.known += 1
+        found = known[a] = self.compatible(a, b)
+        return found
+
     def _word(self, word: str) -> bytes:
         """A piece as the splitter gives it, before its bytes are replaced."""
         return self._coded(word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()]))
@@ -149,8 +160,7 @@ class Bpe:
         n = len(text) + 1
         last = [-1] * (n + 1)  # the last token of each prefix, -1 where none is known
         start = [0] * (n + 1)
-        fits = self.fits
-        for end, (token, length, base) in self.automaton.iter(text + self.END):  # longest first at each end
+        for end, (token, length, base, fits) in self.automaton.iter(text + self.END):  # longest first at each end
             end += 1
             if last[end] >= 0:
                 continue
@@ -160,12 +170,9 @@ class Bpe:
                 if not base:  # the shortest token is what is left when none of the longer ones is valid
                     if prior < 0:
                         continue
-                    pair = prior << 32 | token
-                    ok = fits.get(pair)
+                    ok = fits.get(prior)
                     if ok is None:
-                        if len(fits) > FITS:
-                            fits.clear()
-                        ok = fits[pair] = self.compatible(prior, token)
+                        ok = self._fits(prior, token, fits)
                     if not ok:
                         continue
                 start[end] = before
@@ -177,6 +184,15 @@ class Bpe:
         ids.reverse()
         return array("I", ids).tobytes()
 
+    def _simple_chunk(self, chunk: str) -> bytes:
+        """A run without white space of a simple text in lower case."""
+        if chunk.isalpha():
+            return self._word(chunk)
+        tail = chunk[-1]
+        if tail in ".," and (head := chunk[:-1]).isalpha():
+            return self.simple[head] + self.stops[tail]
+        return self._chunk(chunk)
+
     def _chunk(self, chunk: str) -> bytes:
         """A run without white space, cut into the splitter's pieces."""
         low = chunk.lower()
@@ -197,7 +213,9 @@ class Bpe:
     def _plain(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split() only
             return self._any(text)
-        return b"".join(map(self.chunks.__getitem__, (text.lower() if _simple(text) else text).split()))
+        if _simple(text):
+            return b"".join(map(self.simple.__getitem__, text.lower().split()))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text, as little-endian uint32 bytes."""

@@ -10,8 +10,10 @@ Counts are made in Spark and grow with the input: the shared ones from the words
 of all documents, those of a class from all its labelled rows.  Only the logistic
 curve is fitted on a bounded sample (``CURVE_ROWS`` a class, a quarter of the
 class at most), whose labels the models are not counted on.  A text is judged by
-the mean log-likelihood ratio of its 1, 2, 4 and 8 most telling words, by that of
-the whole text a letter, and by its length; every text is scored whole.
+the mean log-likelihood ratio of its 1, 2, 4 and 8 most telling words, and by that of
+its best passages of 8 and of 32 words a letter; every text is scored whole.  All of
+these are figures of the best part of a text: ordinary words around a passage, however
+many, take nothing from it.
 
 The model that tasks get has an entry for each context with at least ``LEAST``
 labelled occurrences and for each letter seen after it.  Should that be more than
@@ -51,7 +53,11 @@ CURVE_ROWS = 4_000
 BROADCAST_IDS = 1_000_000
 LONGEST = 64
 BEST = (1, 2, 4, 8)
-FIGURES = [*(f"__top{k}" for k in BEST), "__mean", "__size"]
+#: Words of the passages whose mean log ratio a symbol is taken; that of the best passage counts.
+PASSAGES = (8, 32)
+FIGURES = [*(f"__top{k}" for k in BEST), *(f"__passage{k}" for k in PASSAGES), "__words"]
+#: The figures that the curve is made of; the last one only says whether there is a word.
+JUDGED = FIGURES[:-1]
 START, END = "^", "$"
 _RUNS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
 _HELD = 300_000
@@ -166,17 +172,34 @@ def ratios(grams: DataFrame) -> DataFrame:
 Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def packed(grams: list[str], values: np.ndarray) -> Model:
+def keyed(grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of grams, and which of them are whole ones and not contexts."""
+    whole, keys = np.fromiter((len(g) == ORDER for g in grams), bool, len(grams)), np.zeros(len(grams), np.uint64)
+    for kind in (True, False):
+        keys[whole == kind] = _keys([g for g, w in zip(grams, whole.tolist(), strict=True) if w == kind])
+    return keys, whole
+
+
+def packed(keys: np.ndarray, whole: np.ndarray, values: np.ndarray) -> Model:
     """Sorted keys with values, of whole grams and of contexts."""
-    whole = np.fromiter((len(g) == ORDER for g in grams), bool, len(grams))
     out: list[np.ndarray] = []
-    for kind in (True, False):
-        keys = _keys([g for g, w in zip(grams, whole.tolist(), strict=True) if w == kind])
-        order = np.argsort(keys)
-        out += [keys[order], values[whole == kind][order].astype(np.float32)]
+    for kind in (whole, ~whole):
+        order = np.argsort(keys[kind])
+        out += [keys[kind][order], values[kind][order].astype(np.float32)]
     return tuple(out)
 
 
+def _coded(grams: DataFrame) -> DataFrame:
+    """(key, whole, value) of (gram, value): what is sent to the driver are numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, whole = keyed(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(whole), batch.column(1).cast(pa.float32())], names=["key", "whole", "value"])
+
+    return grams.select("gram", "value").mapInArrow(run, "key long, whole boolean, value float")
+
+
 def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of ``wanted`` are among ``keys``, and their values (0 for others)."""
     if not len(keys):
@@ -265,7 +288,9 @@ def figures_of(texts: list[str | None], model: Model, known: Known | None = None
         v = values[which[a:b]]
         top = np.sort(np.partition(v, len(v) - BEST[-1])[len(v) - BEST[-1] :] if len(v) > BEST[-1] else v)[::-1]
         sums = np.cumsum(top)
-        out[k] = [*(sums[min(j, len(top)) - 1] / j for j in BEST), v.sum() / (found.lengths[a:b].sum() + b - a), np.log1p(b - a)]
+        total, size = np.concatenate([[0.0], np.cumsum(v)]), np.concatenate([[0], np.cumsum(found.lengths[a:b] + 1)])
+        means = [((total[j:] - total[:-j]) / (size[j:] - size[:-j])).max() for j in (min(j, b - a) for j in PASSAGES)]
+        out[k] = [*(sums[min(j, len(top)) - 1] / j for j in BEST), *means, b - a]
     return out
 
 
@@ -303,14 +328,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cur
     least = LEAST
     while table.where(F.col("seen") >= least).count() > MODEL_ROWS:
         least *= 2
-    made = table.where(F.col("seen") >= least).select("gram", "value").toArrow()  # MODEL_ROWS entries at most
+    made = _coded(table.where(F.col("seen") >= least)).toArrow()  # MODEL_ROWS entries at most, 13 bytes each
     forget(spark, f"{at}/words", f"{at}/grams", f"{at}/ratios")
-    model = spark.sparkContext.broadcast(packed(made.column(0).to_pylist(), made.column(1).to_numpy()))
+    model = spark.sparkContext.broadcast(packed(made.column(0).to_numpy().view(np.uint64), made.column(1).to_numpy(), made.column(2).to_numpy()))
     shown = figures(rows.where("curve"), model, ["toxic"]).toArrow()
     y = shown.column("toxic").to_numpy()
     if len(set(y.tolist())) < 2:
-        return model, np.array([0.0, 0.0, 1.0, 0.0, 0.0, 0.0, -4.0])
-    return model, fitted(np.column_stack([shown.column(c).to_numpy() for c in FIGURES]), y)
+        return model, np.array([float(c == "__top4") for c in JUDGED] + [-4.0])
+    return model, fitted(np.column_stack([shown.column(c).to_numpy() for c in JUDGED]), y)
 
 
 def figures(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -337,7 +362,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], folds: int = 5, h
         return docs.select(*keep, F.lit(0.0).alias(score_col))
     model, w = found
     z = F.lit(float(w[-1]))
-    for c, weight in zip(FIGURES, w[:-1].tolist(), strict=True):
+    for c, weight in zip(JUDGED, w[:-1].tolist(), strict=True):
         z = z + F.col(c) * weight
     curve = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    return figures(docs, model, keep).select(*keep, F.when(F.col("__size") == 0, 0.0).otherwise(curve).alias(score_col))
+    return figures(docs, model, keep).select(*keep, F.when(F.col("__words") == 0, 0.0).otherwise(curve).alias(score_col))

@@ -90,7 +90,7 @@ def plain_figures(text, table):
             runs += [now] if now else []
             now = c if c.isalpha() else ""
     if not runs:
-        return [0.0] * 6
+        return [0.0] * len(tox.FIGURES)
     v = []
     for w in runs:
         s, total = "^" * 7 + w + "$", 0.0
@@ -98,7 +98,9 @@ def plain_figures(text, table):
             total += table.get(s[k : k + 8], table.get(s[k : k + 7], 0.0))
         v.append(total)
     top = sorted(v, reverse=True)
-    return [*(sum(top[:j]) / j for j in (1, 2, 4, 8)), sum(v) / sum(len(w) + 1 for w in runs), math.log1p(len(v))]
+    sizes = [len(w) + 1 for w in runs]
+    best = [max(sum(v[k : k + j]) / sum(sizes[k : k + j]) for k in range(len(v) - j + 1)) for j in (min(j, len(v)) for j in (8, 32))]
+    return [*(sum(top[:j]) / j for j in (1, 2, 4, 8)), *best, len(v)]
 
 
 def test_figures():
@@ -108,7 +110,7 @@ def test_figures():
     rng = np.random.default_rng(3)
     texts = [None, "", " \n1 2", "ABC", "x" * 200, "ß" * 64 + " ab", "ab²c d_e", "İx ΑΣ 日本語\U00031350"]
     texts += [" ".join(str(w[0]) for w in rng.choice(np.array(words, object), rng.integers(1, 40))) + "!" for _ in range(40)]
-    got = tox.figures_of(texts, tox.packed(list(table), np.array(list(table.values()))))
+    got = tox.figures_of(texts, tox.packed(*tox.keyed(list(table)), np.array(list(table.values()))))
     for text, row in zip(texts, got, strict=True):
         assert np.allclose(row, plain_figures(text, table), atol=1e-6), text
 
@@ -159,8 +161,20 @@ def test_words_of_the_same_letters():
     words = ["errees", "reeres", "rether", "abba", "baab"]
     padded = [t.START * (t.ORDER - 1) + w + t.END for w in words]
     grams = sorted(Counter(p[i : i + t.ORDER] for p in padded for i in range(len(p) - t.ORDER + 1)))
-    model = t.packed(grams, np.arange(len(grams), dtype=float))
+    model = t.packed(*t.keyed(grams), np.arange(len(grams), dtype=float))
     want = [sum(grams.index(p[i : i + t.ORDER]) for i in range(len(p) - t.ORDER + 1)) for p in padded]
     for text in (" ".join(words), " ".join(words * 900)):  # few letters and many
         values, which = t.word_ratios(t.Texts([text]), model)
         assert values[which][: len(words)].tolist() == want
+
+
+def test_long_texts_stay_toxic(spark):
+    """Ordinary words around a toxic passage take nothing from it."""
+    docs, labels = corpus()
+    plain = "\n".join(t for k, t in docs if k % 4)[:20_000]
+    held = [k for k, _ in docs if zlib.crc32(str(k).encode()) % 5 == 0]
+    more = [(1000 + k, f"{plain}\n{docs[k][1]}\n{plain}") for k in held]
+    df, marks = spark.createDataFrame(docs + more, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in tox.score(df, marks, ["doc_id"]).collect()}
+    bad = [k for k in held if k % 4 == 0]
+    assert all(got[k] >= 0.5 and got[1000 + k] >= 0.5 for k in bad) and np.mean([got[1000 + k] < 0.5 for k in held if k % 4]) > 0.9

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, time, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
@@ -43,6 +43,28 @@ def page(df: DataFrame, order: list[Column], skip: int = 0, take: int = PAGE) ->
     return df.orderBy(*order).offset(skip).limit(min(take, MOST))
 
 
+def after(order: list[tuple[str, bool]], last: dict) -> Column:
+    """Rows that come after ``last`` in an order of (column, falling): where a page begins, without counting what is before it. Columns are never null."""
+    out, same = F.lit(False), F.lit(True)
+    for c, falling in order:
+        out = out | (same & (F.col(c) < F.lit(last[c]) if falling else F.col(c) > F.lit(last[c])))
+        same = same & (F.col(c) == F.lit(last[c]))
+    return out
+
+
+def page_with_total(df: DataFrame, order: list[tuple[str, bool]], take: int = PAGE, last: dict | None = None) -> tuple[DataFrame, int]:
+    """A page of ``df`` and how many rows there are altogether, from one pass; ``last`` is the last row of the page before.
+
+    The rows are counted while the first ones are picked, so nothing is read twice, and a later page costs what the first does.
+    """
+    seen = Observation()
+    whole = df.observe(seen, F.count(F.lit(1)).alias("total"))
+    rows = whole if last is None else whole.where(after(order, last))
+    keys = [F.desc(c) if falling else F.asc(c) for c, falling in order]
+    held = rows.orderBy(*keys).limit(min(take, MOST)).toArrow()  # MOST rows at most
+    return df.sparkSession.createDataFrame(held), seen.get["total"]
+
+
 def visible(leads: DataFrame, cards: DataFrame, uploads: DataFrame, user_id, role: str) -> DataFrame:
     """What a user may see: all leads for an administrator, else those whose card they uploaded."""
     if role == "ADMIN":

@@ -18,7 +18,7 @@ from ..functions.text import first_filled
 from ..functions.values import COMPANY_WORDS, DESIGNATIONS
 from ..operators import analytics, cards, companies, dedup, export, leads
 from ..session import spread
-from ..sources import files, responses
+from ..sources import files, responses, snapshots
 from ..storage import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -804,6 +804,27 @@ def merge_groups(spark, at):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 4) THEN 'FAILED' ELSE o_orderstatus END AS status, true AS few FROM orders""")
+def change_few_rows(spark, at):
+    """Four rows of a table in 64 buckets changed: the table after it, and whether four buckets at most were written."""
+    folder, rows = workspace(spark), uploads(spark, at).select("id", "status", F.lit(None).cast("string").alias("error"))
+    snapshots.publish_bucketed(spark, folder, {"uploads": (rows, "id")}, 64)
+    few = rows.select("id").orderBy("id").limit(4)
+    ids = [r["id"] for r in few.collect()]
+    _, wrote = snapshots.change(spark, folder, {"uploads": (few, lambda old: leads.set_upload(old, ids, "FAILED", "broken"))})
+    return snapshots.bucketed(spark, folder)["uploads"].select("id", "status", F.lit(wrote["uploads"] <= 4).alias("few"))
+
+
+@query("""SELECT o_orderkey AS id, o_orderstatus AS status, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS total FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 50""")
+def second_page_with_total(spark, at):
+    """The second page of a list, with the number of all rows."""
+    order, rows = [("createdAt", True), ("id", False)], uploads(spark, at).where(F.col("status") != "P").select("id", "status", "createdAt")
+    first, _ = leads.page_with_total(rows, order)
+    last = first.orderBy(F.asc("createdAt"), F.desc("id")).first()
+    found, total = leads.page_with_total(rows, order, last=last.asDict())
+    return found.select("id", "status", F.lit(total).cast("long").alias("total"))
+
+
 @query(f"""WITH o AS ({_SQL_KNOWN}) SELECT "leadAId" AS id, CASE WHEN "leadAId" IN (1, 4, 10) THEN 'DISMISSED' ELSE status END AS status FROM o""")
 def dismiss_pairs(spark, at):
     return dedup.dismiss(_known(spark, at).withColumn("id", F.col("leadAId")), [1, 4, 10]).select("id", "status")

@@ -212,6 +212,62 @@ def test_url_rules_from_all_rows(spark):
     assert {(r[0], r[1]) for r in urlrules.mine(rows)} == {((f"h:{k}",), "block" if k < 5 else "allow") for k in range(12)}
 
 
+def plain_rules(rows, support, confidence):
+    """All token sets of up to three by counting, then the ones that no more general one makes needless."""
+    from collections import Counter
+    from itertools import combinations
+
+    have, said = Counter(), Counter()
+    for tokens, verdict in rows:
+        for size in (1, 2, 3):
+            for items in combinations(sorted(tokens), size):
+                have[items] += 1
+                said[items, verdict] += 1
+    least = support * len(rows)
+    found = sorted(((items, v, n / have[items]) for (items, v), n in said.items() if v and n >= least and n / have[items] >= confidence), key=lambda r: (len(r[0]), -r[2], r))
+    kept = []
+    for items, v, sure in found:
+        if not any(set(other) <= set(items) and known >= sure for other, _, known in kept):
+            kept.append((items, v, sure))
+    return sorted(kept, key=lambda r: (-r[2], len(r[0]), r))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_url_rules_against_counting(spark, seed, monkeypatch):
+    """The mined rules and their verdicts, held rows and unlabelled ones included."""
+    monkeypatch.setattr(urlrules, "LEAST_ROWS", 1)
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(600):
+        host, part, digit = rng.integers(4), rng.integers(3), rng.integers(3)
+        verdict = None if rng.random() < 0.03 else "block" if (host == 1 and part == 2) or (digit == 0 and host == 3 and rng.random() < 0.95) else "allow" if host == 0 or rng.random() < 0.3 else None
+        rows.append(([f"h:{host}", f"p1:{part}", f"d2:{digit}", "t:x"], verdict, bool(rng.integers(2))))
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string, held boolean")
+    got = [(i, v, round(c, 9)) for i, v, c in urlrules.mine(df.drop("held"), support=0.02)]
+    assert got == [(i, v, round(c, 9)) for i, v, c in plain_rules([r[:2] for r in rows], 0.02, 0.9)] and len({v for _, v, _ in got}) == 2
+    proved = urlrules.mine(df, support=0.02)
+    there = [r for r in rows if r[2]]
+    known = [r for r in there if r[1]]
+    for items, verdict, _ in proved:
+        met = [r for r in there if set(items) <= set(r[0])]
+        assert urlrules._lower_bound(sum(r[1] == verdict for r in met), len(met)) > sum(r[1] == verdict for r in known) / len(known)
+    urls = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "id int, tokens array<string>").withColumns({"host": F.lit("a"), "path": F.lit("/"), "fixed": F.lit(None).cast("struct<rule:string,verdict:string>")})
+    for r in urlrules.judged(urls, proved, ["id"]).collect():
+        fits = next(((i, v) for i, v, _ in proved if set(i) <= set(rows[r["id"]][0])), (None, "allow"))
+        assert r["verdict"] == fits[1] and (r["mined"] == " ".join(fits[0]) if fits[0] else r["mined"] is None)
+
+
+def test_long_paths(spark):
+    """Many pages of one very long path: the combinations of their tokens stay few."""
+    import time
+
+    deep = "/".join(f"part{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))
+    df = spark.range(2000).select(F.col("id").alias("page_id"), F.when(F.col("id") < 900, F.lit(f"http://a.com/en/{deep}")).otherwise(F.concat(F.lit("http://b.org/x/"), F.col("id").cast("string"))).alias("url"))
+    began = time.time()
+    got = urlrules.judge(df, ["page_id"]).groupBy("verdict").count().collect()
+    assert {(r["verdict"], r["count"]) for r in got} == {("block", 900), ("allow", 1100)} and time.time() - began < 60
+
+
 def test_url_rules_without_labels(spark):
     df = spark.createDataFrame([(1, "http://q.de/x")], "page_id long, url string")
     assert [tuple(r)[1:5] for r in urlrules.judge(df, ["page_id"]).collect()] == [("q.de", "/x", None, "allow")]

@@ -19,7 +19,8 @@ from ..functions.values import COMPANY_WORDS, DESIGNATIONS
 from ..operators import analytics, cards, companies, dedup, export, leads
 from ..session import spread
 from ..sources import files, responses, snapshots
-from ..storage import workspace
+from ..storage import stored, workspace
+from ..streaming import keys
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -421,6 +422,20 @@ def dup_links(spark, at):
     return dedup.duplicate_classes(_parts(spark, at))[1].groupBy("score").agg(F.count("*").alias("links"))
 
 
+@query(f"""WITH k AS ({_SQL_SUPPLIERS}), p AS (SELECT a.id AS "leadAId", b.id AS "leadBId", a.np = b.np AS phone, 1 - levenshtein(a.nc, b.nc)::DOUBLE / greatest(length(a.nc), length(b.nc)) AS cs, 1 - levenshtein(a.city, b.city)::DOUBLE / greatest(length(a.city), length(b.city)) AS ci FROM k a JOIN k b ON a.id < b.id),
+s AS (SELECT *, CASE WHEN cs > 0.85 AND 0.6 * cs + 0.4 * ci > 0.7 THEN round(0.6 * cs + 0.4 * ci, 3) ELSE 0 END AS alike FROM p)
+SELECT "leadAId", "leadBId", greatest(alike, CASE WHEN phone THEN 0.9 ELSE 0 END)::DOUBLE AS score FROM s WHERE phone OR alike >= 0.7""")
+def dup_batches(spark, at):
+    """Duplicates found batch by batch against stored keys: the pairs of all leads."""
+    rows, folder, out = _suppliers(spark, at), workspace(spark), None
+    for part in range(3):
+        new = rows.where(F.col("id") % 3 == part)
+        keys.forward(spark, folder, new, 16)
+        found = stored(keys.duplicates(spark, folder, new).select("leadAId", "leadBId", "score"))
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
 _SQL_KNOWN = """SELECT a.s_suppkey AS "leadAId", b.s_suppkey AS "leadBId", CASE WHEN a.s_suppkey % 3 = 0 THEN 'DISMISSED' ELSE 'OPEN' END AS status
 FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 37"""
 

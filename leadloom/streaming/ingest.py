@@ -12,7 +12,8 @@ from ..functions.extract import entities_of_card, extract_entities
 from ..functions.text import blank_to_null
 from ..functions.validate import final_leads, validate_leads
 from ..operators.dedup import _scored, keyed, similar_names, similarity
-from ..sources.responses import explode_ocr, explode_vision
+from ..sources.responses import explode_ocr, explode_vision, quarantine
+from . import keys
 
 INBOX = "uploadId string, engine string, response string, createdAt timestamp"
 
@@ -32,14 +33,22 @@ def leads_of(responses: DataFrame) -> DataFrame:
     return done.select(F.sha2(F.concat_ws(":", "uploadId", "pageIndex", "cardIndex"), 256).alias("id"), "*", F.lit("PENDING_REVIEW").alias("status"))
 
 
-def start(spark: SparkSession, folder: str, leads_path: str, checkpoint: str, on_leads: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
-    """Writes the leads of each batch; a batch that is repeated after a failure writes over its own folder, so that nothing counts twice."""
+def start(spark: SparkSession, folder: str, leads_path: str, checkpoint: str, on_leads: Callable[[DataFrame, int], None] | None = None, index: str | None = None, pairs_path: str | None = None, **trigger) -> StreamingQuery:
+    """Writes the leads of each batch and, with ``index`` (a folder of stored keys) and ``pairs_path``, their duplicates among all leads so far; answers that don't parse go to ``quarantine`` beside the leads.
+
+    A batch that is repeated after a failure writes over its own folders and files the same keys, so that nothing counts twice.
+    """
 
     def batch(responses: DataFrame, number: int) -> None:
         made = leads_of(responses)
         made.write.mode("overwrite").parquet(f"{leads_path}/batch={number}")
+        quarantine(responses.where(F.col("engine") != "ocr")).write.mode("overwrite").parquet(f"{leads_path.rstrip('/')}_quarantine/batch={number}")
+        written = spark.read.parquet(f"{leads_path}/batch={number}")
+        if index and pairs_path:
+            keys.forward(spark, index, written)
+            keys.duplicates(spark, index, written).write.mode("overwrite").parquet(f"{pairs_path}/batch={number}")
         if on_leads:
-            on_leads(spark.read.parquet(f"{leads_path}/batch={number}"), number)
+            on_leads(written, number)
 
     return inbox(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

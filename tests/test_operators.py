@@ -165,7 +165,9 @@ def test_stream(spark, tmp_path):
     vision = json.dumps({"cards": [{"company": "Acme", "contacts": [{"name": "Jo", "email": "jo@acme.co", "isPrimary": True}], "confidence": 90}]})
     (inbox / "1.json").write_text("\n".join(json.dumps({"uploadId": u, "engine": e, "response": r, "createdAt": "2024-01-01T00:00:00"}) for u, e, r in (("u1", "ocr", ocr), ("u2", "vision", vision))))
     for _ in range(2):  # a second run finds nothing new
-        ingest.start(spark, str(inbox), str(out), str(tmp_path / "cp")).awaitTermination()
+        ingest.start(spark, str(inbox), str(out), str(tmp_path / "cp"), index=str(tmp_path / "keys"), pairs_path=str(tmp_path / "pairs")).awaitTermination()
+    found = [tuple(r) for r in spark.read.parquet(str(tmp_path / "pairs")).select("leadAId", "leadBId", "score").collect()]
+    assert len(found) == 1 and found[0][2] == 0.95 and spark.read.parquet(f"{out}_quarantine").count() == 0
     made = spark.read.parquet(str(out))
     assert {(r["uploadId"], r["companyName"], r["email"]) for r in made.collect()} == {("u1", "Acme Ltd", "jo@acme.co"), ("u2", "Acme", "jo@acme.co")}
     pairs = ingest.duplicates_of_new(made.where("uploadId = 'u2'"), made).collect()

@@ -4,47 +4,16 @@ from __future__ import annotations
 
 import gc
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import forget, stored, workspace
 
-def workspace(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share. Only a local session may go without that setting."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.gettempdir()}/leadloom-checkpoints"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written as Parquet and read again: the lineage ends here, lost executors take nothing with them, and the shuffle files go when the table is complete."""
-    spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, *paths: str) -> None:
-    """Deletes folders that no later step reads."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["alone", "forget", "letters", "mixed", "shingle_hashes", "slices", "stored", "text_bytes", "word_hashes", "workspace"]
 
 
 _KEPT: dict[Any, Any] = {}

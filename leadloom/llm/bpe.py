@@ -25,6 +25,7 @@ from pathlib import Path
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -87,7 +88,7 @@ class Bpe:
 
     END = "￿"  # stands for the end-of-word suffix in the automaton's strings
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, remember: int | None = None):
         spec = json.loads(spec)
         model = spec["model"]
         library = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
@@ -119,8 +120,9 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known = 0
         self.stops = {c: self._word(c) for c in ".,"}
-        self.chunks = Words(self._chunk)
-        self.simple = Words(self._simple_chunk)
+        most = CACHE_BYTES if remember is None else remember
+        self.chunks = Words(self._chunk, most // 4)
+        self.simple = Words(self._simple_chunk, most)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether ``a`` then ``b`` stay two tokens: no merge across their boundary comes before those that made them."""
@@ -230,22 +232,31 @@ class Bpe:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-def loaded(spec: str) -> Bpe:
-    """The worker's encoder of ``spec``, made once."""
-    return alone(("bpe", hash(spec)), lambda: Bpe(spec))
+def loaded(spec: str, remember: int | None = None) -> Bpe:
+    """The worker's encoder of ``spec``, made once; ``remember``: bytes of words that it keeps (speed only)."""
+    return alone(("bpe", hash(spec)), lambda: Bpe(spec, remember))
+
+
+def joined(lists: pa.ListArray, tokens: pa.StringArray) -> pa.Array:
+    """The tokens of each list of ids, joined by spaces; null for a null list."""
+    sizes = pa.compute.fill_null(lists.value_lengths(), 0)
+    offsets = np.zeros(len(lists) + 1, np.int32)
+    np.cumsum(sizes.to_numpy(), out=offsets[1:])
+    out = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(offsets), tokens.take(lists.flatten())), " ")
+    return pa.compute.if_else(lists.is_valid(), out, pa.scalar(None, pa.string())) if lists.null_count else out
 
 
 def _kept(df: DataFrame, keep: list[str], new: list[T.StructField]) -> T.StructType:
     return T.StructType([df.schema[c] for c in keep] + new)
 
 
-def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, remember: int | None = None) -> DataFrame:
     """Adds ``ids_col`` (array<int>) to the columns in ``keep`` (default: all but the text). The tokenizer's file is read on the driver and travels with the tasks."""
     spec = Path(tokenizer_path).read_text(encoding="utf-8")
     keep = [c for c in df.columns if c not in (text_col, ids_col)] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(spec)
+        bpe = loaded(spec, remember)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for at in range(0, batch.num_rows, 512):
@@ -260,18 +271,17 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col:
     return df.select(*keep, text_col).mapInArrow(run, out)
 
 
-def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded", remember: int | None = None) -> DataFrame:
     """Adds ``text_col``: the text of the ids. Null ids give a null text, no ids the empty text."""
     spec = Path(tokenizer_path).read_text(encoding="utf-8")
     keep = [c for c in df.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(spec)
+        tokens = pa.array(loaded(spec, remember).tokens, pa.string())
         at = keep.index(ids_col)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                texts = [None if x is None else bpe.decode(x) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*keep, text_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, joined(part.column(at), tokens)], names=[*keep, text_col])
 
     return df.select(*keep).mapInArrow(run, _kept(df, keep, [T.StructField(text_col, T.StringType())]))

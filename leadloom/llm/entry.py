@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..session import ship, spread
 
 
+#: Bytes of words that a Python worker of operators 1 and 10 remembers; the pipeline's workers, which had other work before, keep less.
+REMEMBER = 224 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(found) if name in ("documents", "pages") else found
@@ -24,8 +28,8 @@ def tokenizer() -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import decode, encode
 
-    coded = encode(table(spark, sf_dir, "documents"), tokenizer(), keep=["doc_id"])
-    return decode(coded, tokenizer()).select(
+    coded = encode(table(spark, sf_dir, "documents"), tokenizer(), keep=["doc_id"], remember=REMEMBER)
+    return decode(coded, tokenizer(), remember=REMEMBER).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -97,7 +101,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
+    return pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=2, remember=REMEMBER)
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

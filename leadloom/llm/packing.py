@@ -32,14 +32,14 @@ CAPACITY = 4096
 _RANK_BITS = 44
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", remember: int | None = None) -> DataFrame:
     """One row a piece; ``part`` and ``nth`` count the pieces of a length within the task that made them."""
     spec = Path(tokenizer_path).read_text(encoding="utf-8")
     end = np.array([end_id], "<u4").tobytes()
     width = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part = loaded(spec), TaskContext.get().partitionId()
+        bpe, part = loaded(spec, remember), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -112,10 +112,10 @@ def places(found: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
     return {"key": key.copy(), "first": first.copy(), "offset": offset.copy()}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a piece with its sequence and offset. The texts are read once and never shuffled."""
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", remember: int | None = None) -> DataFrame:
+    """One row a piece with its sequence and offset. The texts are read once and never shuffled. ``remember``: bytes of words that a worker keeps (speed only)."""
     spark, at = docs.sparkSession, workspace(docs.sparkSession)
-    made = stored(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), f"{at}/pieces")
+    made = stored(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, remember), f"{at}/pieces")
     counts = made.groupBy("part", "length").count()
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     slots = places(patterns(histogram, capacity))

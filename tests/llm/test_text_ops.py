@@ -238,3 +238,15 @@ def test_lines_of_a_very_long_text(spark):
     began = time.time()
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in dedup(df).collect()}
     assert got == {1: (40_000, 0, text), 2: (40_001, 40_000, "and one more")} and time.time() - began < 60
+
+
+def test_decoding_lists(spark):
+    """Null, empty and sliced lists of ids."""
+    import pyarrow as pa
+
+    from leadloom.llm.bpe import joined
+
+    tokens = pa.array(["a", "b</w>", "", "d"])
+    lists = pa.array([[9], [0, 1], None, [], [3, 3, 2], [1]], pa.list_(pa.int32()))
+    assert joined(lists.slice(1), tokens).to_pylist() == ["a b</w>", None, "", "d d ", "b</w>"]
+    assert joined(lists.slice(3, 1), tokens).to_pylist() == [""] and joined(lists.slice(0, 0), tokens).to_pylist() == []

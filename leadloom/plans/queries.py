@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import extract, validate
 from ..functions.text import first_filled
 from ..functions.values import COMPANY_WORDS, DESIGNATIONS
-from ..operators import analytics, cards, companies, dedup, export, leads
+from ..operators import analytics, audit, cards, companies, dedup, export, leads
 from ..session import spread
 from ..sources import files, responses, snapshots
 from ..storage import stored, workspace
@@ -840,6 +840,33 @@ def second_page_with_total(spark, at):
     return found.select("id", "status", F.lit(total).cast("long").alias("total"))
 
 
+@query("""SELECT c_custkey AS id, count(o_orderkey) AS contacts, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS "firstContact" FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def lead_contacts(spark, at):
+    """Leads with their contacts, oldest first: how many, and the first."""
+    people = table(spark, at, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("leadId"), F.col("o_orderdate").alias("createdAt"), F.col("o_orderpriority").alias("email"))
+    held = leads.with_contacts(table(spark, at, "customer").select(F.col("c_custkey").alias("id")), people)
+    return held.select("id", F.coalesce(F.size("contacts"), F.lit(0)).cast("long").alias("contacts"), F.get("contacts", F.lit(0))["contactId"].alias("firstContact"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey = 7 THEN 'Pune' ELSE c_mktsegment END AS city, c_name AS name FROM customer""")
+def edit_lead(spark, at):
+    """One lead's editable fields changed; others are passed over."""
+    rows = table(spark, at, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("city"), F.col("c_name").alias("name"))
+    return leads.edit(rows, 7, {"city": "Pune", "name": "not editable"})
+
+
+@query("""SELECT sha256('u1|LEAD_TRASH|Lead|' || o_orderkey || '|1998-06-01 00:00:00') AS id, 'u1' AS "userId", 'LEAD_TRASH' AS action, 'Lead' AS "entityType", CAST(o_orderkey AS VARCHAR) AS "entityId", TIMESTAMP '1998-06-01' AS "createdAt" FROM orders WHERE o_orderstatus = 'F'""")
+def audit_log(spark, at):
+    """A row of the log for each lead that went to the trash."""
+    return audit.audit_rows(uploads(spark, at).where(F.col("status") == "F").select("id"), "LEAD_TRASH", "Lead", "u1", AS_OF).drop("metadata")
+
+
+@query("""SELECT l_orderkey AS request, l_linenumber AS file FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 5)""")
+def file_limit(spark, at):
+    """Files of requests that are not too large."""
+    return files.within_limit(table(spark, at, "lineitem").select(F.col("l_orderkey").alias("request"), F.col("l_linenumber").alias("file")), "request", 5)
+
+
 @query(f"""WITH o AS ({_SQL_KNOWN}) SELECT "leadAId" AS id, CASE WHEN "leadAId" IN (1, 4, 10) THEN 'DISMISSED' ELSE status END AS status FROM o""")
 def dismiss_pairs(spark, at):
     return dedup.dismiss(_known(spark, at).withColumn("id", F.col("leadAId")), [1, 4, 10]).select("id", "status")

@@ -35,3 +35,9 @@ def engine(mime: Column, size: Column, key: Column, has_first: bool = False, has
     wanted = F.when(k.startswith("gsk_"), "second").when(k.startswith("sk-ant-"), "first").otherwise("second" if has_second else "first" if has_first else "ocr")
     fits = lambda name: mime.isin(VISION_MIME) & (size <= VISION_BYTES[name])
     return F.when((wanted == "second") & fits("second"), "second").when((wanted == "first") & fits("first"), "first").otherwise("ocr")
+
+
+def within_limit(files: DataFrame, request: str, most: int = MAX_FILES) -> DataFrame:
+    """The files of requests that have ``most`` files at most; a larger request is refused as a whole."""
+    sizes = files.groupBy(request).agg(F.count("*").alias("__n")).where(F.col("__n") <= most)
+    return files.join(sizes.select(request), request, "left_semi").select(files.columns)

@@ -15,9 +15,10 @@ its best passages of 8 and of 32 words a letter; every text is scored whole.  Al
 these are figures of the best part of a text: ordinary words around a passage, however
 many, take nothing from it.
 
-The model that tasks get has an entry for each context with at least ``LEAST``
-labelled occurrences and for each letter seen after it.  Should that be more than
-``MODEL_ROWS`` entries, the least count is doubled until it is not.
+What a context says is weighed by ``seen / (seen + WEIGHT)`` for its labelled
+occurrences, so that rare ones say little and none is left out.  Tasks get an entry
+for each context and for each letter seen after it, up to ``MODEL_ROWS`` entries of the
+contexts seen most; what the others say of a word is joined to the texts that have it.
 
 Edge cases: null, empty and letterless texts have score 0; without labelled rows
 of both classes every score is 0; a document with several labels is toxic if one
@@ -46,7 +47,8 @@ ORDER = 8
 #: Letters of a gram (the last one and its context) at each step of backing off.
 STEPS = (ORDER, 5, 3, 1)
 DISCOUNT = 0.75
-LEAST = 10
+WEIGHT = 10
+#: Entries that tasks get at once; the rest of the model is joined.
 MODEL_ROWS = 8_000_000
 CURVE_ROWS = 4_000
 #: Labels up to which they are joined by a broadcast; beyond it by a shuffle.
@@ -169,6 +171,11 @@ def ratios(grams: DataFrame) -> DataFrame:
     return full.unionByName(sums.select(F.col("context").alias("gram"), F.log(F.col("spare1") / F.col("spare0")).alias("value"), "seen"))
 
 
+def weighed(ratios: DataFrame) -> DataFrame:
+    """``ratios`` with what each context says weighed by how often it was seen."""
+    return ratios.withColumn("value", F.col("value") * F.col("seen") / (F.col("seen") + WEIGHT))
+
+
 Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -240,27 +247,38 @@ class Known:
         self.names, self.values = np.insert(self.names, at, names), np.insert(self.values, at, values)
 
 
-def word_ratios(texts: Texts, model: Model, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The log ratios of the distinct words, and which of these each word is."""
+def _distinct(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words in order, a place where each one is, and which of these each word is."""
     n = len(texts.begins)
     if not n:
-        return np.zeros(0), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     owner = np.repeat(np.arange(n), texts.lengths)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(texts.lengths) - texts.lengths, texts.lengths)
     points = texts.points[texts.begins[owner] + place]
     names = np.add.reduceat(_placed(points, place), np.cumsum(texts.lengths) - texts.lengths)
-    names, some, which = np.unique(names, return_index=True, return_inverse=True)
+    return np.unique(names, return_index=True, return_inverse=True)
+
+
+Rest = tuple[np.ndarray, np.ndarray]
+
+
+def word_ratios(texts: Texts, model: Model, known: Known | None = None, rest: Rest | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The log ratios of the distinct words, and which of these each word is. ``rest``: sorted hashes of words, and what contexts beyond the model add to them."""
+    names, some, which = _distinct(texts)
+    if not len(names):
+        return np.zeros(0), which
     if known is None:
-        return _ratios_of(texts, some, model), which
-    hit, values = _found(known.names, known.values, names)
-    if not hit.all():
-        values[~hit] = _ratios_of(texts, some[~hit], model)
-        known.add(names[~hit], values[~hit])
-    return values, which
+        values = _ratios_of(texts, some, model)
+    else:
+        hit, values = _found(known.names, known.values, names)
+        if not hit.all():
+            values[~hit] = _ratios_of(texts, some[~hit], model)
+            known.add(names[~hit], values[~hit])
+    return (values if rest is None else values + _found(*rest, names)[1]), which
 
 
-def _ratios_of(texts: Texts, some: np.ndarray, model: Model) -> np.ndarray:
-    """The log ratios of these words: the sum over a word's symbols, its end included."""
+def _symbols(texts: Texts, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of these words, their ends included: where each word's first one is, and the keys of all contexts and grams."""
     size = texts.lengths[some] + 1
     start = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(some)), size)
@@ -272,15 +290,35 @@ def _ratios_of(texts: Texts, some: np.ndarray, model: Model) -> np.ndarray:
         there = place >= back
         before[there] = symbols[np.flatnonzero(there) - back]
         context += _terms(before, back)
-    hit, value = _found(model[0], model[1], context + _terms(symbols, 0))
+    return start, context, context + _terms(symbols, 0)
+
+
+def _ratios_of(texts: Texts, some: np.ndarray, model: Model) -> np.ndarray:
+    """The log ratios of these words: the sum over a word's symbols."""
+    start, context, gram = _symbols(texts, some)
+    hit, value = _found(model[0], model[1], gram)
     value[~hit] = _found(model[2], model[3], context[~hit])[1]
     return np.add.reduceat(value, start).astype(float)
 
 
-def figures_of(texts: list[str | None], model: Model, known: Known | None = None) -> np.ndarray:
+def beyond(texts: Texts, model: Model, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word's hash, place, key of the gram, key of its context) of the symbols after contexts that the model lacks, of words not in ``known``."""
+    names, some, _ = _distinct(texts)
+    new = ~_found(known.names, known.values, names)[0]
+    names, some = names[new], some[new]
+    if not len(names):
+        return names, np.zeros(0, np.int64), names, names
+    known.add(names, np.zeros(len(names)))
+    start, context, gram = _symbols(texts, some)
+    size = np.diff(np.append(start, len(context)))
+    at = np.flatnonzero(~_found(model[2], model[3], context)[0])
+    return np.repeat(names, size)[at], (np.arange(len(context)) - np.repeat(start, size))[at], gram[at], context[at]
+
+
+def figures_of(texts: list[str | None], model: Model, known: Known | None = None, rest: Rest | None = None) -> np.ndarray:
     """A row of ``FIGURES`` a text."""
     found = Texts(texts)
-    values, which = word_ratios(found, model, known)
+    values, which = word_ratios(found, model, known, rest)
     out = np.zeros((len(texts), len(FIGURES)))
     for k, (a, b) in enumerate(zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True)):
         if a == b:
@@ -311,7 +349,7 @@ def fitted(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, curve_rows: int = CURVE_ROWS) -> tuple | None:
-    """The model (a broadcast) and the curve, or None if a class has no rows."""
+    """The model (a broadcast) and (what is beyond it, the curve), or None if a class has no rows."""
     spark, at = docs.sparkSession, workspace(docs.sparkSession)
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
@@ -324,35 +362,92 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cur
     rows = docs.select("doc_id", "text").join(marked, "doc_id", "left").select("text", "toxic", "curve")
     found = stored(words(rows.select("text", F.when(~F.col("curve"), F.col("toxic")).alias("kind"))), f"{at}/words")
     grams = stored(counted(found), f"{at}/grams")
-    table = stored(ratios(grams).where(F.col("seen") >= LEAST), f"{at}/ratios")
-    least = LEAST
-    while table.where(F.col("seen") >= least).count() > MODEL_ROWS:
-        least *= 2
+    table = stored(weighed(ratios(grams)), f"{at}/ratios")
+    least = _least(table)
     made = _coded(table.where(F.col("seen") >= least)).toArrow()  # MODEL_ROWS entries at most, 13 bytes each
-    forget(spark, f"{at}/words", f"{at}/grams", f"{at}/ratios")
     model = spark.sparkContext.broadcast(packed(made.column(0).to_numpy().view(np.uint64), made.column(1).to_numpy(), made.column(2).to_numpy()))
-    shown = figures(rows.where("curve"), model, ["toxic"]).toArrow()
+    rest = stored(added(docs, model, _coded(table.where(F.col("seen") < least))), f"{at}/rest") if least > 1 else None
+    forget(spark, f"{at}/words", f"{at}/grams", f"{at}/ratios")
+    shown = figures(rows.where("curve"), model, ["toxic"], rest=rest).toArrow()
     y = shown.column("toxic").to_numpy()
     if len(set(y.tolist())) < 2:
-        return model, np.array([float(c == "__top4") for c in JUDGED] + [-4.0])
-    return model, fitted(np.column_stack([shown.column(c).to_numpy() for c in JUDGED]), y)
+        return model, (rest, np.array([float(c == "__top4") for c in JUDGED] + [-4.0]))
+    return model, (rest, fitted(np.column_stack([shown.column(c).to_numpy() for c in JUDGED]), y))
+
+
+def _least(table: DataFrame) -> int:
+    """The power of two so often must a context be seen that there are no more than ``MODEL_ROWS`` entries; 1 if all are taken."""
+    power = F.length(F.bin("seen")) - 1
+    sizes = {r["power"]: r["count"] for r in table.groupBy(power.alias("power")).count().collect()}
+    least, total = 1 << 62, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > MODEL_ROWS:
+            return least
+        least = 1 << k
+    return 1
+
+
+def added(docs: DataFrame, model, rest: DataFrame) -> DataFrame:
+    """(name, more): what ``rest`` (key, whole, value), which the model lacks, adds to the log ratio of each word that has some of it; by the word's hash."""
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, met = alone(name, lambda: model.value), Known()
+        for batch in batches:
+            for _, texts in slices(batch.column(0), 1 << 19):
+                found = beyond(Texts(texts.to_pylist()), tables, met)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=["name", "place", "key", "context"])
+
+    symbols = docs.select("text").mapInArrow(run, "name long, place long, key long, context long")
+    symbols = symbols.groupBy("name", "place").agg(F.first("key").alias("key"), F.first("context").alias("context"))
+    whole = rest.where("whole").select("key", F.col("value").alias("own"))
+    spare = rest.where("NOT whole").select(F.col("key").alias("context"), F.col("value").alias("spare"))
+    valued = symbols.join(spare, "context").join(whole, "key", "left")
+    return valued.groupBy("name").agg(F.sum(F.coalesce("own", "spare").cast("double")).alias("more"))
+
+
+def with_rest(docs: DataFrame, rest: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``__rest``, the rows of ``rest`` for the words of each text; texts meet them by their hash, equal ones once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            for key, text in zip(keys, batch.column(1), strict=True):
+                names = _distinct(Texts([text.as_py()]))[0]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(names), pa.string()), pa.array(names.view(np.int64))], names=["__text", "name"])
+
+    texts = docs.select(F.md5(F.col(text_col).cast("binary")).alias("__text"), F.col(text_col).alias("text"))
+    asked = texts.mapInArrow(run, "__text string, name long").join(rest, "name")
+    # Copies of a text ask for the same.
+    held = asked.groupBy("__text", "name").agg(F.first("more").alias("more")).groupBy("__text").agg(F.collect_list(F.struct("name", "more")).alias("__rest"))
+    return docs.withColumn("__text", F.md5(F.col(text_col).cast("binary"))).join(held, "__text", "left").drop("__text")
+
+
+def _rest_of(found: pa.Array) -> Rest:
+    """The distinct rows of some texts, by name."""
+    rows = found.flatten()
+    names, first = np.unique(rows.field("name").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), return_index=True)
+    return names, rows.field("more").to_numpy(zero_copy_only=False).astype(float)[first]
 
 
-def figures(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Adds ``FIGURES`` to the columns in ``keep``."""
+def figures(docs: DataFrame, model, keep: list[str], text_col: str = "text", rest: DataFrame | None = None) -> DataFrame:
+    """Adds ``FIGURES`` to the columns in ``keep``. ``rest``: what words have beyond the model."""
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, known = alone(name, lambda: (model.value, Known()))
         for batch in batches:
             for first, texts in slices(batch.column(at), 1 << 19):
-                found = figures_of(texts.to_pylist(), tables, known)
                 rows = batch.slice(first, len(texts))
+                found = figures_of(texts.to_pylist(), tables, known, _rest_of(rows.columns[-1]) if more else None)
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *(pa.array(found[:, k]) for k in range(len(FIGURES)))], names=[*keep, *FIGURES])
 
-    at = keep.index(text_col) if text_col in keep else len(keep)
+    at, more = keep.index(text_col) if text_col in keep else len(keep), rest is not None
     held = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, *[text_col][: at == len(keep)]).mapInArrow(run, held + "".join(f", `{c}` double" for c in FIGURES))
+    rows = docs.select(*keep, *[text_col][: at == len(keep)])
+    return (with_rest(rows, rest, text_col) if more else rows).mapInArrow(run, held + "".join(f", `{c}` double" for c in FIGURES))
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str], folds: int = 5, held: int = 0, score_col: str = "score") -> DataFrame:
@@ -360,9 +455,9 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], folds: int = 5, h
     found = train(docs, labels, folds, held)
     if found is None:
         return docs.select(*keep, F.lit(0.0).alias(score_col))
-    model, w = found
+    model, (rest, w) = found
     z = F.lit(float(w[-1]))
     for c, weight in zip(JUDGED, w[:-1].tolist(), strict=True):
         z = z + F.col(c) * weight
     curve = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    return figures(docs, model, keep).select(*keep, F.when(F.col("__words") == 0, 0.0).otherwise(curve).alias(score_col))
+    return figures(docs, model, keep, rest=rest).select(*keep, F.when(F.col("__words") == 0, 0.0).otherwise(curve).alias(score_col))

@@ -178,3 +178,22 @@ def test_long_texts_stay_toxic(spark):
     got = {r["doc_id"]: r["score"] for r in tox.score(df, marks, ["doc_id"]).collect()}
     bad = [k for k in held if k % 4 == 0]
     assert all(got[k] >= 0.5 and got[1000 + k] >= 0.5 for k in bad) and np.mean([got[1000 + k] < 0.5 for k in held if k % 4]) > 0.9
+
+
+def test_a_small_model_scores_alike(spark, monkeypatch):
+    """What a bounded model lacks is joined: the scores are those of the whole model, and rare contexts count, too."""
+    docs, labels = corpus(200)
+    docs += [(900, None), (901, ""), (902, docs[0][1]), (903, "x" * 60 + "²" + docs[0][1]), (None, docs[0][1])]
+    df, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole, (rest, _) = tox.train(df, marks)
+    want = {r["doc_id"]: r["score"] for r in tox.score(df, marks, ["doc_id"]).collect()}
+    assert rest is None
+    rare = spark.createDataFrame([("grubta", 1, 0, 1)], "word string, n long, n0 long, n1 long")
+    keys = tox.keyed([r["gram"] for r in tox.ratios(tox.counted(rare)).collect()])[0]
+    assert np.isin(keys, np.concatenate([whole.value[0], whole.value[2]])).all()
+    for most in (0, 400):
+        monkeypatch.setattr(tox, "MODEL_ROWS", most)
+        model, (rest, _) = tox.train(df, marks)
+        assert len(model.value[0]) + len(model.value[2]) <= most and rest.count() > 0
+        rows = tox.score(df, marks, ["doc_id"]).collect()
+        assert len(rows) == len(docs) and all(math.isclose(r["score"], want[r["doc_id"]], abs_tol=1e-6) for r in rows)

@@ -70,8 +70,11 @@ def website(urls: Column, socials: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """The lines that aren't blank, cleaned."""
-    return F.filter(F.transform(F.split(text, "\r?\n"), cleaned), lambda x: x != "")
+    """The lines that aren't blank, cleaned. A text whose only white space is single spaces inside lines has nothing to clean."""
+    odd = text.rlike(r"[^\n -~]") & text.rlike(rf"[^\n -~](?<={WS})")
+    loose = text.contains("  ") | text.contains(" \n") | text.contains("\n ") | text.startswith(" ") | text.endswith(" ")
+    parts = F.when(odd | loose, F.transform(F.split(text, "\r?\n"), cleaned)).otherwise(F.split(text, "\n"))
+    return F.filter(parts, lambda x: x != "")
 
 
 def company(lines: Column) -> Column:
@@ -99,13 +102,21 @@ def department(line: Column) -> Column:
 
 def industry(text: Column) -> Column:
     """The first industry one of whose words occurs anywhere."""
-    return let(F.lower(text), lambda low: first_case((contains_any(low, words), F.lit(name)) for name, words in INDUSTRIES.items()))
+    return let(F.lower(text), _industry)
+
+
+def _industry(low: Column) -> Column:
+    cases = []
+    for name, words in INDUSTRIES.items():
+        # A word that holds another one of its industry says nothing more.
+        cases.append((contains_any(low, [w for w in words if not any(o != w and o in w for o in words)]), F.lit(name)))
+    return first_case(cases)
 
 
 def address(lines: Column) -> Column:
     """Lines with a postal code or an address word that are neither phone nor e-mail lines, joined; null if none."""
     phone_line = lambda x: (F.length(digits(x)) >= 8) & (F.length(F.regexp_replace(x, "[^A-Za-z]", "")) <= 3)
-    kept = F.filter(lines, lambda x: (x.rlike(POSTAL) | x.rlike("(?i)" + any_word(ADDRESS_WORDS))) & ~phone_line(x) & ~x.rlike(EMAIL_INSIDE))
+    kept = F.filter(lines, lambda x: ((x.rlike("[0-9]{6}") & x.rlike(POSTAL)) | x.rlike("(?i)" + any_word(ADDRESS_WORDS))) & ~phone_line(x) & ~x.rlike(EMAIL_INSIDE))
     return F.when(F.size(kept) > 0, F.array_join(kept, ", "))
 
 
@@ -139,7 +150,7 @@ def extract_entities(cards: DataFrame, text_col: str = "rawText") -> DataFrame:
     """``cards`` with the lead's fields and ``contacts``; a null text is an empty one."""
     have = [F.col(c) for c in cards.columns]
     now = cards.select(*have, F.coalesce(text_col, F.lit("")).alias("_t"))
-    now = now.select(*have, "_t", lines(F.col("_t")).alias("_lines"), emails(F.col("_t")).alias("_emails"), phones(F.col("_t")).alias("_phones"), *(social(F.col("_t"), k).alias(k) for k in SOCIAL))
+    now = now.select(*have, "_t", F.lower("_t").alias("_low"), lines(F.col("_t")).alias("_lines"), emails(F.col("_t")).alias("_emails"), phones(F.col("_t")).alias("_phones"), *(social(F.col("_t"), k).alias(k) for k in SOCIAL))
     now = now.select("*", urls(F.col("_t"), F.col("_emails")).alias("_urls"), F.array_compact(F.array(*SOCIAL)).alias("_socials"), address(F.col("_lines")).alias("address"))
     none = F.lit(None).cast("string")
     return now.select(
@@ -152,7 +163,7 @@ def extract_entities(cards: DataFrame, text_col: str = "rawText") -> DataFrame:
         "address",
         postal_code(F.col("address")).alias("postalCode"),
         gstin(F.col("_t")).alias("gstin"),
-        industry(F.col("_t")).alias("industry"),
+        _industry(F.col("_low")).alias("industry"),
         *SOCIAL,
         none.alias("city"),
         none.alias("state"),

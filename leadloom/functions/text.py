@@ -46,13 +46,22 @@ def extracted(c: Column | str, pattern: str, group: int = 0) -> Column:
     return blank_to_null(F.regexp_extract(_col(c), pattern, group))
 
 
+def any_of(words: Iterable[str]) -> str:
+    """A pattern for one of the words anywhere; those that begin alike are tried together."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(re.escape(w[1:]))
+    return "(?:" + "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in by.items()) + ")"
+
+
 def any_word(words: Iterable[str]) -> str:
-    """A pattern for one of the words between word bounds."""
-    words = list(words)
-    inside = "|".join(re.escape(w) for w in words)
-    if all(re.fullmatch(r"\w(.*\w)?", w, re.ASCII) for w in words):  # the bounds of such words are simpler to test
-        return f"(?<![A-Za-z0-9_])(?:{inside})(?![A-Za-z0-9_])"
-    return f"{BOUND}(?:{inside}){BOUND}"
+    """A pattern for one of the words (each begins with a letter, a digit or an underscore) between word bounds."""
+    by: dict[bool, list[str]] = {True: [], False: []}
+    for w in words:
+        by[bool(re.search(r"\w$", w, re.ASCII))].append(w)
+    # Beside a letter or digit a bound means that none follows; beside another sign, that one does.
+    ends = [any_of(by[k]) + end for k, end in ((True, "(?![A-Za-z0-9_])"), (False, "(?=[A-Za-z0-9_])")) if by[k]]
+    return f"(?<![A-Za-z0-9_])(?:{'|'.join(ends)})"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

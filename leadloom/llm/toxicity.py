@@ -18,7 +18,8 @@ many, take nothing from it.
 What a context says is weighed by ``seen / (seen + WEIGHT)`` for its labelled
 occurrences, so that rare ones say little and none is left out.  Tasks get an entry
 for each context and for each letter seen after it, up to ``MODEL_ROWS`` entries of the
-contexts seen most; what the others say of a word is joined to the texts that have it.
+contexts seen most.  What the others say is summed by word: tasks get the sums of the
+words met most (a quarter as many), and those of other words are joined to the texts.
 
 Edge cases: null, empty and letterless texts have score 0; without labelled rows
 of both classes every score is 0; a document with several labels is toxic if one
@@ -61,7 +62,7 @@ FIGURES = [*(f"__top{k}" for k in BEST), *(f"__passage{k}" for k in PASSAGES), "
 #: The figures that the curve is made of; the last one only says whether there is a word.
 JUDGED = FIGURES[:-1]
 START, END = "^", "$"
-_RUNS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
+_RUNS = re.compile(r"[^\W\d_]+")
 _HELD = 300_000
 #: Words whose log ratios a Python worker keeps, 16 bytes each.
 KNOWN_WORDS = 1 << 19
@@ -95,13 +96,14 @@ def _keys(grams: list[str]) -> np.ndarray:
 
 
 def _words_of(found: Counter) -> Iterator[tuple[str, int]]:
-    """Words of letters only; a run with other signs in it is several words."""
+    """Words of letters only, as ``Texts`` has them; a run with other signs in it is several words, as is a long one."""
     for word, n in found.items():
-        if word.isalpha():
+        if len(word) <= LONGEST and word.isalpha():
             yield word, n
         else:
             for part in "".join(c if c.isalpha() else " " for c in word).split():
-                yield part, n
+                for k in range(0, len(part), LONGEST):
+                    yield part[k : k + LONGEST], n
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -176,7 +178,8 @@ def weighed(ratios: DataFrame) -> DataFrame:
     return ratios.withColumn("value", F.col("value") * F.col("seen") / (F.col("seen") + WEIGHT))
 
 
-Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Keys and values of whole grams, those of contexts and, where these are not all, hashes of words and what the rest of the model adds to them.
+Model = tuple[np.ndarray, ...]
 
 
 def keyed(grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -263,16 +266,16 @@ Rest = tuple[np.ndarray, np.ndarray]
 
 
 def word_ratios(texts: Texts, model: Model, known: Known | None = None, rest: Rest | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The log ratios of the distinct words, and which of these each word is. ``rest``: sorted hashes of words, and what contexts beyond the model add to them."""
+    """The log ratios of the distinct words, and which of these each word is. ``rest``: sorted hashes of words, and what is beyond the model adds to them."""
     names, some, which = _distinct(texts)
     if not len(names):
         return np.zeros(0), which
     if known is None:
-        values = _ratios_of(texts, some, model)
+        values = _sums_of(texts, names, some, model)
     else:
         hit, values = _found(known.names, known.values, names)
         if not hit.all():
-            values[~hit] = _ratios_of(texts, some[~hit], model)
+            values[~hit] = _sums_of(texts, names[~hit], some[~hit], model)
             known.add(names[~hit], values[~hit])
     return (values if rest is None else values + _found(*rest, names)[1]), which
 
@@ -301,18 +304,25 @@ def _ratios_of(texts: Texts, some: np.ndarray, model: Model) -> np.ndarray:
     return np.add.reduceat(value, start).astype(float)
 
 
-def beyond(texts: Texts, model: Model, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word's hash, place, key of the gram, key of its context) of the symbols after contexts that the model lacks, of words not in ``known``."""
-    names, some, _ = _distinct(texts)
-    new = ~_found(known.names, known.values, names)[0]
-    names, some = names[new], some[new]
+def _sums_of(texts: Texts, names: np.ndarray, some: np.ndarray, model: Model) -> np.ndarray:
+    """The log ratios of these words with what the rest of the model adds to them, as far as tasks get it."""
+    values = _ratios_of(texts, some, model)
+    return values + _found(model[4], model[5], names)[1] if len(model) > 4 else values
+
+
+def lacking(texts: Texts, model: Model, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """(text's place, word's hash) of the distinct words of each text that have a symbol after a context that the model lacks, and no sum in it. ``known`` has 1 for such words and 0 for others."""
+    names, some, which = _distinct(texts)
     if not len(names):
-        return names, np.zeros(0, np.int64), names, names
-    known.add(names, np.zeros(len(names)))
-    start, context, gram = _symbols(texts, some)
-    size = np.diff(np.append(start, len(context)))
-    at = np.flatnonzero(~_found(model[2], model[3], context)[0])
-    return np.repeat(names, size)[at], (np.arange(len(context)) - np.repeat(start, size))[at], gram[at], context[at]
+        return np.zeros(0, np.int64), names
+    hit, lacks = _found(known.names, known.values, names)
+    if not hit.all():
+        start, context, _ = _symbols(texts, some[~hit])
+        lacks[~hit] = np.logical_or.reduceat(~_found(model[2], model[3], context)[0], start) & ~_found(model[4], model[5], names[~hit])[0]
+        known.add(names[~hit], lacks[~hit])
+    at = np.flatnonzero(lacks[which])
+    pairs = np.unique((np.searchsorted(texts.first, at, side="right") - 1) * len(names) + which[at])
+    return pairs // len(names), names[pairs % len(names)]
 
 
 def figures_of(texts: list[str | None], model: Model, known: Known | None = None, rest: Rest | None = None) -> np.ndarray:
@@ -363,11 +373,21 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cur
     found = stored(words(rows.select("text", F.when(~F.col("curve"), F.col("toxic")).alias("kind"))), f"{at}/words")
     grams = stored(counted(found), f"{at}/grams")
     table = stored(weighed(ratios(grams)), f"{at}/ratios")
-    least = _least(table)
+    least = _least(table, "seen", MODEL_ROWS)
     made = _coded(table.where(F.col("seen") >= least)).toArrow()  # MODEL_ROWS entries at most, 13 bytes each
-    model = spark.sparkContext.broadcast(packed(made.column(0).to_numpy().view(np.uint64), made.column(1).to_numpy(), made.column(2).to_numpy()))
-    rest = stored(added(docs, model, _coded(table.where(F.col("seen") < least))), f"{at}/rest") if least > 1 else None
-    forget(spark, f"{at}/words", f"{at}/grams", f"{at}/ratios")
+    known = packed(made.column(0).to_numpy().view(np.uint64), made.column(1).to_numpy(), made.column(2).to_numpy())
+    model, rest = spark.sparkContext.broadcast(known), None
+    if least > 1:
+        more = stored(added(found, model, _coded(table.where(F.col("seen") < least))), f"{at}/more")
+        often = _least(more, "n", MODEL_ROWS // 4)
+        made = more.where(F.col("n") >= often).select("name", "more").toArrow()  # 16 bytes each
+        names = made.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(names)
+        model.unpersist()
+        model = spark.sparkContext.broadcast((*known, names[order], made.column(1).to_numpy()[order]))
+        forget(spark, f"{at}/words", f"{at}/grams", f"{at}/ratios")
+        rest = stored(lists(docs, model, more.where(F.col("n") < often).select("name", "more")), f"{at}/rest") if often > 1 else None
+    forget(spark, *(f"{at}/{x}" for x in ("words", "grams", "ratios", "more")))
     shown = figures(rows.where("curve"), model, ["toxic"], rest=rest).toArrow()
     y = shown.column("toxic").to_numpy()
     if len(set(y.tolist())) < 2:
@@ -375,54 +395,61 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cur
     return model, (rest, fitted(np.column_stack([shown.column(c).to_numpy() for c in JUDGED]), y))
 
 
-def _least(table: DataFrame) -> int:
-    """The power of two so often must a context be seen that there are no more than ``MODEL_ROWS`` entries; 1 if all are taken."""
-    power = F.length(F.bin("seen")) - 1
+def _least(table: DataFrame, column: str, most: int) -> int:
+    """The power of two that ``column`` must reach so that no more than ``most`` rows do; 1 if all are taken."""
+    power = F.length(F.bin(column)) - 1
     sizes = {r["power"]: r["count"] for r in table.groupBy(power.alias("power")).count().collect()}
     least, total = 1 << 62, 0
     for k in sorted(sizes, reverse=True):
         total += sizes[k]
-        if total > MODEL_ROWS:
+        if total > most:
             return least
         least = 1 << k
     return 1
 
 
-def added(docs: DataFrame, model, rest: DataFrame) -> DataFrame:
-    """(name, more): what ``rest`` (key, whole, value), which the model lacks, adds to the log ratio of each word that has some of it; by the word's hash."""
+def added(words: DataFrame, model, rest: DataFrame) -> DataFrame:
+    """(name, n, more): what ``rest`` (key, whole, value), which the model lacks, adds to the log ratio of each of ``words`` (word, n) that has some of it; by the word's hash."""
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, met = alone(name, lambda: model.value), Known()
+        tables = alone(name, lambda: model.value)
         for batch in batches:
-            for _, texts in slices(batch.column(0), 1 << 19):
-                found = beyond(Texts(texts.to_pylist()), tables, met)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=["name", "place", "key", "context"])
-
-    symbols = docs.select("text").mapInArrow(run, "name long, place long, key long, context long")
-    symbols = symbols.groupBy("name", "place").agg(F.first("key").alias("key"), F.first("context").alias("context"))
+            texts = Texts(batch.column(0).to_pylist())  # one word each
+            names, _, which = _distinct(texts)
+            start, context, gram = _symbols(texts, np.arange(batch.num_rows))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.append(start, len(context))))
+            at = np.flatnonzero(~_found(tables[2], tables[3], context)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(names[which[owner[at]]].view(np.int64)), batch.column(1).take(pa.array(owner[at])), pa.array(gram[at].view(np.int64)), pa.array(context[at].view(np.int64))], names=["name", "n", "key", "context"])
+
+    symbols = words.select("word", "n").mapInArrow(run, "name long, n long, key long, context long")
     whole = rest.where("whole").select("key", F.col("value").alias("own"))
     spare = rest.where("NOT whole").select(F.col("key").alias("context"), F.col("value").alias("spare"))
     valued = symbols.join(spare, "context").join(whole, "key", "left")
-    return valued.groupBy("name").agg(F.sum(F.coalesce("own", "spare").cast("double")).alias("more"))
+    return valued.groupBy("name").agg(F.max("n").alias("n"), F.sum(F.coalesce("own", "spare").cast("double")).alias("more"))
 
 
-def with_rest(docs: DataFrame, rest: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``__rest``, the rows of ``rest`` for the words of each text; texts meet them by their hash, equal ones once."""
+def lists(docs: DataFrame, model, rest: DataFrame) -> DataFrame:
+    """(of, rest): the rows of ``rest`` (name, more) for the words of each text, by the text's hash. Texts ask for words that the model lacks some of; equal ones ask alike, and those of one hash share a list."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone()
+        tables, met = alone(name, lambda: (model.value, Known()))
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for key, text in zip(keys, batch.column(1), strict=True):
-                names = _distinct(Texts([text.as_py()]))[0]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(names), pa.string()), pa.array(names.view(np.int64))], names=["__text", "name"])
+            of, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            batch = batch.take(pa.array(first))
+            for at, texts in slices(batch.column(1), 1 << 19):
+                owner, names = lacking(Texts(texts.to_pylist()), tables, met)
+                yield pa.RecordBatch.from_arrays([pa.array(of[at + owner]), pa.array(names.view(np.int64))], names=["of", "name"])
+
+    asked = docs.select(F.xxhash64("text").alias("of"), "text").mapInArrow(run, "of long, name long")
+    return asked.join(rest, "name").groupBy("of").agg(F.collect_set(F.struct("name", "more")).alias("rest"))
 
-    texts = docs.select(F.md5(F.col(text_col).cast("binary")).alias("__text"), F.col(text_col).alias("text"))
-    asked = texts.mapInArrow(run, "__text string, name long").join(rest, "name")
-    # Copies of a text ask for the same.
-    held = asked.groupBy("__text", "name").agg(F.first("more").alias("more")).groupBy("__text").agg(F.collect_list(F.struct("name", "more")).alias("__rest"))
-    return docs.withColumn("__text", F.md5(F.col(text_col).cast("binary"))).join(held, "__text", "left").drop("__text")
+
+def with_rest(docs: DataFrame, rest: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``__rest``, its list of ``lists``."""
+    held = rest.select(F.col("of").alias("__of"), F.col("rest").alias("__rest"))
+    return docs.withColumn("__of", F.xxhash64(text_col)).join(held, "__of", "left").drop("__of")
 
 
 def _rest_of(found: pa.Array) -> Rest:
@@ -433,7 +460,7 @@ def _rest_of(found: pa.Array) -> Rest:
 
 
 def figures(docs: DataFrame, model, keep: list[str], text_col: str = "text", rest: DataFrame | None = None) -> DataFrame:
-    """Adds ``FIGURES`` to the columns in ``keep``. ``rest``: what words have beyond the model."""
+    """Adds ``FIGURES`` to the columns in ``keep``. ``rest``: what the words of texts have beyond the model, as ``lists`` has it."""
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
